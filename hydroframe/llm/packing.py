@@ -15,9 +15,9 @@ pieces; equal rows are packed each for itself; an empty table gives no rows; fur
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -60,69 +60,81 @@ class WordEncoder:
     """Ids of whole texts through a bounded memory of words.
 
     The vocabulary splits at white space and drops it, and neither its normaliser nor its merges look across, so a text's
-    ids are those of its words in order.  Words not yet known are encoded together, divided by a special token's string.
+    ids are those of its words in order.  A word of Latin letters only is one piece, which the normaliser just lower-cases,
+    so the model gets it directly; the same holds for such a word before a full stop or comma, which is a piece of its own.
+    All other words go through the whole tokenizer.  The memory has two halves: when the newer is full it becomes the
+    older, and what is found there moves over.
     """
 
-    def __init__(self, model: str, keep: int = 300_000):
+    def __init__(self, model: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_str(model), keep, {}
-        special = max(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: x[0])
-        self.mark_id, self.mark = special[0], special[1].content
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.keep:
-            self.known.clear()
-        whole, plain = [], {}
-        for word in words:
-            core = word
-            if word.isascii():
-                if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
-                    core = word[:-1]
-                core = core.lower()
-            plain[word] = core
-        fresh = list({c for c in plain.values() if c not in self.known} | {m for m in (b".", b",") if m not in self.known})
-        for word in fresh:
-            if b"<|" in word or len(word) > 1000:
-                whole.append(word)
-        skip = set(whole)
-        easy = [w for w in fresh if w not in skip]
-        for word in whole:
-            self.known[word] = self._ids(word.decode()).tobytes()
-        for at in range(0, len(easy), 256):
-            group = easy[at : at + 256]
-            ids = self._ids(f" {self.mark} ".join(w.decode() for w in group))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            for word, part in zip(group, np.split(ids, cuts), strict=True):
-                self.known[word] = (part[1:] if part.size and part[0] == self.mark_id else part).tobytes()
-        for word, core in plain.items():
-            if word not in self.known:
-                self.known[word] = self.known[core] + (self.known[word[-1:]] if len(core) < len(word) else b"")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        if missing := {w for words in split for w in words if w not in known}:
-            if len(known) + len(missing) > self.keep:
-                missing = {w for words in split for w in words}
-            self._learn(missing)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.tokenizer, self.keep = Tokenizer.from_str(model), keep
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in set(printed)]
+        self.byte_chars = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.marks = {m: self._whole(m) for m in (b".", b",")}
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            mark = self.marks.get(word[-1:], b"") if len(word) > 1 else b""
+            core = word[:-1] if mark else word
+            letters = core.decode()
+            if letters.isalpha() and (core.isascii() or (max(letters) < "\u0250" and "\u0130" not in letters)):
+                lower = letters.lower()
+                key = lower.encode()
+                ids = self.known.get(key) or self.older.get(key)
+                if ids is None:
+                    pieces = self.tokenize(lower if core.isascii() else key.decode("latin-1").translate(self.byte_chars))
+                    ids = array("I", [p.id for p in pieces]).tobytes()
+                    if key != word:
+                        self.known[key] = ids
+                ids += mark
+            else:
+                ids = self._whole(word)
+        if len(word) <= 64:
+            if len(self.known) >= self.keep:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
+
+    def __call__(self, text: str | None) -> bytes:
+        """Unsigned 32-bit ids of a text."""
+        out = []
+        for word in (text or "").encode().split():
+            ids = self.known.get(word)
+            out.append(self._learn(word) if ids is None else ids)
+        return b"".join(out)
+
+
+#: One encoder for each vocabulary in a worker process; the next tasks there go on with it.
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def worker_encoder(model: str) -> WordEncoder:
+    key = hash(model)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(model)
+    return _ENCODERS[key]
 
 
 def pack(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, block_docs: int = 1024) -> DataFrame:
-    """One row for each piece: doc_id, start, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
+    """One row for each piece: doc_id, start, ids (binary, native uint32: little-endian on the usual machines), doc_tokens, sequence_id, offset.
 
     `model` is the content of a `tokenizers` JSON file whose vocabulary drops white space.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(model)
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        encode = worker_encoder(model)
+        end = array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 33
         rest: list[tuple[int, int, bytes, int]] = []
 
@@ -146,8 +158,8 @@ def pack(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
         for part in in_slices(batches, 256):
             rows: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids = encode(text) + end
                 total, whole = len(ids) // 4, len(ids) // (4 * capacity)
                 for k in range(whole):
                     rows.append((doc, k * capacity, ids[4 * k * capacity : 4 * (k + 1) * capacity], total, sequence, 0))
