@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from hydroframe.llm import bpe, packing, url_filter
+from hydroframe.llm import bpe, exact_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
+    "op3_exact_dedup": exact_dedup.ORACLE,
 }
