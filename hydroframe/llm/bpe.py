@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 500_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.children: list[dict[int, int] | None] = [{}]
@@ -57,23 +59,24 @@ class Transducer:
                     self.token.append(NONE)
                 node = nxt
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
+        # A state is one flat tuple: for each hypothesis the last token, the node, the number of pending tokens, and those.
+        # The hypothesis without an open token, if there is one, comes first.  Steps: state and byte to state and output.
         self.ids: dict[tuple, int] = {}
         self.hyps: list[tuple] = []
-        self.next: list[dict[int, tuple[int, tuple]]] = []
-        self.last: list[tuple] = []
-        self._state(((NONE, 0, ()),))
+        self.steps: dict[int, int] = {}
+        self.outs: list[tuple] = [()]
+        self.out_ids: dict[tuple, int] = {(): 0}
+        self._state((NONE, 0, 0))
 
-    def _state(self, hyps: tuple) -> int:
-        got = self.ids.get(hyps)
+    def _state(self, flat: tuple) -> int:
+        got = self.ids.get(flat)
         if got is None:
-            got = self.ids[hyps] = len(self.hyps)
-            self.hyps.append(hyps)
-            self.next.append({})
-            self.last.append(next((pend for _, node, pend in hyps if node == 0), ()))
+            got = self.ids[flat] = len(self.hyps)
+            self.hyps.append(flat)
         return got
 
     def merged(self, data: bytes) -> list[int]:
@@ -95,7 +98,7 @@ class Transducer:
         return [ranks[p] for p in parts]
 
     def _fits(self, prev: int, tok: int) -> bool:
-        key = (prev, tok)
+        key = (prev << 32) | tok
         fits = self.pairs.get(key)
         if fits is None:
             if len(self.pairs) >= self.max_pairs:
@@ -108,44 +111,56 @@ class Transducer:
             self.pairs[key] = fits
         return fits
 
-    def _expand(self, state: int, b: int) -> tuple[int, tuple]:
-        found = []
-        for prev, node, pend in self.hyps[state]:
-            below = self.children[node]
+    def _expand(self, state: int, b: int) -> int:
+        children, tokens, flat = self.children, self.token, self.hyps[state]
+        found, at = [], 0
+        while at < len(flat):
+            prev, node, n = flat[at : at + 3]
+            below = children[node]
             node = below.get(b) if below else None
-            if node is None:
-                continue
-            tok = self.token[node]
-            if tok != NONE and self._fits(prev, tok):
-                found.append((tok, 0, pend + (tok,)))
-            if self.children[node]:
-                found.append((prev, node, pend))
-        shared = 0
+            if node is not None:
+                pend = flat[at + 3 : at + 3 + n]
+                tok = tokens[node]
+                if tok != NONE and self._fits(prev, tok):
+                    found.insert(0, (tok, 0, pend + (tok,)))
+                if children[node]:
+                    found.append((prev, node, pend))
+            at += 3 + n
         first = found[0][2]
-        shortest = min(len(p) for _, _, p in found)
-        while shared < shortest and all(p[shared] == first[shared] for _, _, p in found):
-            shared += 1
-        made = self._state(tuple((prev, node, p[shared:]) for prev, node, p in found)), first[:shared]
-        self.next[state][b] = made
-        return made
+        shared = min(len(p) for _, _, p in found)
+        for _, _, p in found:
+            while p[:shared] != first[:shared]:
+                shared -= 1
+        made = []
+        for prev, node, p in found:
+            made += (prev, node, len(p) - shared)
+            made += p[shared:]
+        out = first[:shared]
+        out_id = self.out_ids.get(out)
+        if out_id is None:
+            out_id = self.out_ids[out] = len(self.outs)
+            self.outs.append(out)
+        step = self.steps[state << 8 | b] = self._state(tuple(made)) << 32 | out_id
+        return step
 
     def run(self, data: bytes) -> list[int]:
         """The tokens of one piece, in one pass over its bytes."""
         if len(self.hyps) > self.max_states:
             self._reset()
-        state, after, out = 0, self.next, []
+        state, out, get, outs = 0, [], self.steps.get, self.outs
         for b in data:
-            step = after[state].get(b)
+            step = get(state << 8 | b)
             if step is None:
                 if len(self.hyps) > self.max_states:
-                    hyps = self.hyps[state]
+                    flat = self.hyps[state]
                     self._reset()
-                    state, after = self._state(hyps), self.next
+                    state, get, outs = self._state(flat), self.steps.get, self.outs
                 step = self._expand(state, b)
-            state, sure = step
-            if sure:
-                out += sure
-        out += self.last[state]
+            state = step >> 32
+            if sure := step & 0xFFFFFFFF:
+                out += outs[sure]
+        flat = self.hyps[state]
+        out += flat[3 : 3 + flat[2]]
         return out
 
     def piece(self, data: bytes) -> list[int]:
@@ -153,37 +168,67 @@ class Transducer:
         return self.run(data) if whole is None else [whole]  # a piece that is a token is that token
 
 
+class Memo(dict):
+    """A bounded memory: when its newer half is full it becomes the older one, and what is found there moves over."""
+
+    def __init__(self, keep: int, longest: int):
+        super().__init__()
+        self.keep, self.longest, self.older = keep, longest, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= self.longest:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+
+
 class Encoder:
-    """Ids of whole texts: pieces by a pattern, each through the transducer, with a bounded memory of pieces.
+    """Ids of whole texts: pieces by a pattern, each through the transducer.
 
-    The memory has two halves: when the newer is full it becomes the older, and what is found there moves over.
+    With a pattern like that of the rank files, a piece never goes on over a space after another character, and a space
+    before a character begins a piece.  Where white space is single spaces and line ends only, which `ODD` tests, a text
+    may therefore be taken in stretches that begin with a space; those are remembered as a whole, as pieces are.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 200_000):
+    ODD = re.compile(r"[^\S \n]|  | \n|\n |[\x1c-\x1f]")
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000, spaces_lead: bool = True):
         import regex
 
-        self.find, self.machine, self.keep = regex.compile(pattern).findall, Transducer(ranks), keep
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.find, self.machine, self.spaces_lead = regex.compile(pattern).findall, Transducer(ranks), spaces_lead
+        self.pieces, self.stretches = Memo(keep, 64), Memo(keep, 64)
 
-    def _learn(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.older.get(piece)
         if ids is None:
             ids = array("i", self.machine.piece(piece.encode())).tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= self.keep:
-                self.known, self.older = {}, self.known
-            self.known[piece] = ids
+        self.pieces.put(piece, ids)
         return ids
 
-    def __call__(self, text: str) -> bytes:
-        """Native 32-bit ids."""
-        out = []
+    def _pieces(self, text: str) -> bytes:
+        out, get = [], self.pieces.get
         for piece in self.find(text):
-            ids = self.known.get(piece)
-            out.append(self._learn(piece) if ids is None else ids)
+            out.append(get(piece) or self._piece(piece))
         return b"".join(out)
 
+    def _stretch(self, stretch: str) -> bytes:
+        ids = self.stretches.older.get(stretch)
+        if ids is None:
+            ids = self._pieces(" " + stretch)
+        self.stretches.put(stretch, ids)
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """Native 32-bit ids."""
+        if not self.spaces_lead or self.ODD.search(text):
+            return self._pieces(text)
+        first, *rest = text.split(" ")
+        if not rest or not rest[-1]:
+            return self._pieces(text)
+        get = self.stretches.get
+        return self._pieces(first) + b"".join([get(s) or self._stretch(s) for s in rest])
+
 
 #: One encoder for each rank file and pattern in a worker process; the next tasks there go on with it.
 _ENCODERS: dict[tuple[bytes, str], Encoder] = {}
@@ -233,36 +278,48 @@ class Utf8Stream:
         return rest
 
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: the ordinary tokens (no special ones) of each whole text."""
+def decode_ids(ids: Iterable[int], byte_of: dict[int, bytes], chunk: int = 8192) -> str:
+    """The tokens' text, decoded as a stream of chunks of ids."""
+    stream, out, at = Utf8Stream(), [], iter(ids)
+    while data := b"".join(map(byte_of.__getitem__, islice(at, chunk))):
+        out.append(stream.feed(data))
+    return "".join(out) + stream.close()
+
+
+def _arrays(made: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), dtype="i4")))
+
+
+def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """doc_id, ids array<int>: the ordinary tokens (no special ones) of each whole text.
+
+    `back` adds `decoded`, the text that decoding these ids gives, in the same pass.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(rank_file, pattern)
         for part in in_slices(batches, 256):
             made = [encoder(t or "") for t in part.column(1).to_pylist()]
-            ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype("int32")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), dtype="i4")))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            cols = {"doc_id": part.column(0), "ids": _arrays(made)}
+            if back:
+                cols["decoded"] = pa.array([decode_ids(array("i", m), encoder.machine.bytes_of) for m in made], pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
 
-    return arrow_map(id_text(docs, id_col, text_col), work, "doc_id long, ids array<int>")
+    return arrow_map(id_text(docs, id_col, text_col), work, "doc_id long, ids array<int>" + ", decoded string" * back)
 
 
-def decode(encoded: DataFrame, rank_file: bytes, id_col: str = "doc_id", ids_col: str = "ids", chunk: int = 8192) -> DataFrame:
-    """doc_id, ids, text: the tokens' text, decoded as a stream of chunks of ids."""
+def decode(encoded: DataFrame, rank_file: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, decoded: the text of each row's ids."""
     rows = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_of = {r: t for t, r in read_ranks(rank_file).items()}.__getitem__
+        byte_of = {r: t for t, r in read_ranks(rank_file).items()}
         for part in in_slices(batches, 256):
-            texts = []
-            for ids in part.column(1).to_pylist():
-                stream, out = Utf8Stream(), []
-                for at in range(0, len(ids or ()), chunk):
-                    out.append(stream.feed(b"".join(map(byte_of, ids[at : at + chunk]))))
-                texts.append("".join(out) + stream.close())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            texts = [decode_ids(ids or (), byte_of) for ids in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "decoded": pa.array(texts, pa.string())})
 
-    return arrow_map(rows, work, "doc_id long, ids array<int>, text string")
+    return arrow_map(rows, work, "doc_id long, decoded string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,10 +327,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         rank_file = f.read()
-    both = decode(encode(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN), rank_file)
+    both = encode(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, back=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
