@@ -115,14 +115,18 @@ def divergence(hist: str, reference: list[float]) -> str:
     return f"sqrt(greatest(0D, aggregate(zip_with({hist}, {q}, (p, q) -> {term('p', 'q')} + {term('q', 'p')}), 0D, (a, x) -> a + x) / 2))"
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None, min_chars: int = 200, min_words: int = 40, max_char: float = 0.35, max_word: float = 0.55) -> DataFrame:
+def _share_of(total: Column):
+    return lambda x: F.try_divide(x, total)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None, min_chars: int = 200, min_words: int = 40, max_char: float = 0.27, max_word: float = 0.3) -> DataFrame:
     """doc_id, the measures, both distances with the nearest language, base_failed and kept, for each row."""
     common = COMMON if common is None else common
     measures = features(docs, id_col, text_col, lang_col, common)
     refs = references(measures, len({w for ws in common.values() for w in ws}) + 1)
     shares = measures
     for hist, total in (("char_hist", F.col("n_chars")), ("word_hist", F.col("n_words"))):
-        shares = shares.withColumn(hist, F.when(total > 0, F.transform(hist, lambda x, t=total: F.try_divide(x, t))))
+        shares = shares.withColumn(hist, F.when(total > 0, F.transform(hist, _share_of(total))))
     near = lambda k, hist: F.least(*[F.expr(divergence(hist, r[k])) for r in refs.values()], F.lit(1.0)) if refs else F.lit(None).cast("double")
     out = shares.withColumn("char_distance", near(0, "char_hist")).withColumn("word_distance", near(1, "word_hist"))
     long_enough = (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words)
