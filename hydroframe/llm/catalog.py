@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from hydroframe.llm import bpe, exact_dedup, packing, quality, url_filter
+from hydroframe.llm import bpe, exact_dedup, language_id, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_language_id": language_id.op5_language_id,
+    "op8_warc": warc.op8_warc,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
