@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hydroframe.llm import bpe, exact_dedup, language_id, packing, quality, substring_dedup, url_filter, warc
+from hydroframe.llm import bpe, exact_dedup, language_id, line_dedup, packing, quality, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_language_id": language_id.op5_language_id,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
