@@ -1,5 +1,65 @@
-"""The corpus pipeline; filled in with its stages."""
-STAGES: list = []
+"""The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the last return the columns
+of `documents`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hydroframe.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
+from hydroframe.llm.common import shared_folder
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter go, and those that resemble no learned language."""
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model).where("lang_pred <> 'und' and score >= 0.1").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (A-Z lower-cased), the one with the largest doc_id stays."""
+    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest doc_id stays."""
+    kept = near_dedup.near_groups(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 20 that came before go; a document that loses none keeps its text, one that loses all goes."""
+    done = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept")
+    joined = docs.join(done, "doc_id", "left").where("n_removed is null or n_removed < n_words")
+    cut = F.col("n_removed").isNotNull()
+    changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.char_length("kept")).otherwise(F.col("n_chars"))}
+    return joined.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.query(docs)
+
+
+STAGES = [("language_id", known_language), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substrings), ("packing", packed)]
+
+#: SQL can't express the first stage; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the shared folder as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
