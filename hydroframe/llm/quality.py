@@ -2,7 +2,7 @@
 
 Two histograms describe a text: its characters by class, and its words by a short list of common words of each language
 (with one bin for all other words).  A language's reference is the sum of the histograms of all its documents that pass
-the base rules, so the references follow the corpus; the first pass over the texts makes them, one row for each language.
+the base rules, so the references follow the corpus, one row for each language.
 A text is kept if its distance to the nearest reference is at most `max_char` for the classes and `max_word` for the words.
 Texts with fewer than `min_chars` characters or `min_words` words are too short to be measured and are kept if they pass
 the base rules.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import SPACES, table
+from hydroframe.llm.common import SPACES, checkpoint, table
 
 #: Common words whose shares are compared; fixed values, a parameter of the operator.
 COMMON = {
@@ -84,8 +84,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))], blank, rest).alias("char_hist"),
-        F.concat("word_hist", F.array(F.col("n_words").cast("double") - F.col("hit"))).alias("word_hist"),
+        F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))], blank, rest).cast("array<int>").alias("char_hist"),
+        F.concat("word_hist", F.array(F.col("n_words").cast("double") - F.col("hit"))).cast("array<int>").alias("word_hist"),
     )
 
 
@@ -116,13 +116,14 @@ def divergence(hist: str, reference: list[float]) -> str:
 
 
 def _share_of(total: Column):
-    return lambda x: F.try_divide(x, total)
+    return lambda x: F.try_divide(x.cast("double"), total)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None, min_chars: int = 200, min_words: int = 40, max_char: float = 0.27, max_word: float = 0.3) -> DataFrame:
     """doc_id, the measures, both distances with the nearest language, base_failed and kept, for each row."""
     common = COMMON if common is None else common
-    measures = features(docs, id_col, text_col, lang_col, common)
+    # The measures are a few hundred bytes a row and used twice; the texts are read once.
+    measures = checkpoint(features(docs, id_col, text_col, lang_col, common))
     refs = references(measures, len({w for ws in common.values() for w in ws}) + 1)
     shares = measures
     for hist, total in (("char_hist", F.col("n_chars")), ("word_hist", F.col("n_words"))):
