@@ -184,7 +184,9 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield batch(rows)
 
-    return arrow_map(archives.select("archive").repartition("archive"), work, COLUMNS)
+    # As many tasks as archives: a count that is given is not coalesced again, though the names are few bytes.
+    names = archives.select("archive")
+    return arrow_map(names.repartition(max(1, min(names.count(), 20_000))), work, COLUMNS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
