@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of every standardised index.
@@ -34,10 +34,10 @@ def _ratio(x: Column, parts: tuple[list[float], list[float]]) -> Column:
     return poly(x, parts[0]) / poly(x, parts[1])
 
 
-def norm_ppf(p: Column) -> Column:
-    """Quantile of the standard normal; -inf and +inf at 0 and 1, null outside."""
+def norm_ppf(p: Column, tail: Column | None = None) -> Column:
+    """Quantile of the standard normal; -inf and +inf at 0 and 1, null outside.  `tail` is tail_of(p), if at hand."""
     q = p - F.lit(0.5)
-    tail = F.sqrt(-F.log(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p)))
+    tail = tail_of(p) if tail is None else tail
     size = F.when(tail <= 5.0, _ratio(tail - 1.6, MIDDLE)).otherwise(_ratio(tail - 5.0, FAR))
     return (
         F.when(p == 0.0, F.lit(float("-inf")))
@@ -46,6 +46,16 @@ def norm_ppf(p: Column) -> Column:
     )
 
 
+def tail_of(p: Column) -> Column:
+    return F.sqrt(-F.log(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p)))
+
+
+def with_norm_ppf(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Adds the bounded quantile of p.  Steps are columns of their own, since an expression is repeated wherever it is named."""
+    df = df.withColumn("_p", p).withColumn("_tail", tail_of(F.col("_p")))
+    return df.withColumn(out, bounded(norm_ppf(F.col("_p"), F.col("_tail")))).drop("_p", "_tail")
+
+
 def hastings(p: Column) -> Column:
     """Approximate normal quantile, good to 4.5e-4; probabilities are clipped to 1e-10 from either end."""
     p = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-10)), F.lit(1.0 - 1e-10)))

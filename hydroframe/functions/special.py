@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from hydroframe.functions.expr import LANCZOS
 
@@ -85,7 +86,7 @@ def np_pearson3_cdf(x: np.ndarray, loc: np.ndarray, scale: np.ndarray, skew: np.
         return np.where(np.isnan(z), np.nan, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma_cdf(x: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     """CDF of the gamma distribution with shape alpha and scale beta; null where it has none."""
     with np.errstate(all="ignore"):
@@ -93,7 +94,7 @@ def gamma_cdf(x: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson3_cdf(x: pd.Series, loc: pd.Series, scale: pd.Series, skew: pd.Series) -> pd.Series:
     out = np_pearson3_cdf(*(s.to_numpy(float) for s in (x, loc, scale, skew)))
     return pd.Series(out).where(~np.isnan(out), None)

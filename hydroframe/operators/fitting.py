@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.functions.expr import norm_ppf, pearson_bound, pearson_from_lmoments
+from hydroframe.functions.expr import pearson_bound, pearson_from_lmoments, with_norm_ppf
 from hydroframe.functions.special import gamma_cdf, pearson3_cdf
 from hydroframe.operators.series import by_keys, calibration_years
 
@@ -59,24 +59,31 @@ def pearson_fit(df: DataFrame, keys: list[str], value: str = "value", calibratio
     return m.select(*keys, "period", or_zero(F.try_divide(F.col("n_zero"), F.col("n"))).alias("prob_zero"), or_zero(loc).alias("loc"), or_zero(scale).alias("scale"), or_zero(skew).alias("skew"))
 
 
-def gamma_z(value: Column, alpha: Column, beta: Column, prob_zero: Column) -> Column:
-    """Standard normal value of each value under the fitted distribution with a mass at zero."""
-    share = F.when(value == 0, F.lit(0.0)).otherwise(gamma_cdf(value, alpha, beta))
-    return norm_ppf(F.least(F.when(share.isNotNull(), prob_zero + (F.lit(1.0) - prob_zero) * share), F.lit(1.0)))
+def with_gamma_z(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the standard normal value under the fit in alpha, beta and prob_zero_gamma, clipped to the index's bounds."""
+    df = df.withColumn("_f", gamma_cdf(F.col(value), F.col("alpha"), F.col("beta")))
+    share = F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col("_f"))
+    p0 = F.col("prob_zero_gamma")
+    return with_norm_ppf(df, F.when(share.isNotNull(), F.least(p0 + (F.lit(1.0) - p0) * share, F.lit(1.0))), out).drop("_f")
 
 
-def pearson_z(value: Column, prob_zero: Column, loc: Column, scale: Column, skew: Column) -> Column:
-    """As gamma_z; values outside the distribution's range and traces below 0.0005 get fixed shares."""
-    bound = pearson_bound(loc, scale, skew)
+def with_pearson_z(df: DataFrame, value: str, out: str) -> DataFrame:
+    """As with_gamma_z, from prob_zero, loc, scale, skew.
+
+    Values outside the distribution's range and traces below 0.0005 get fixed shares.
+    """
+    v, p0, scale, skew = F.col(value), F.col("prob_zero"), F.col("scale"), F.col("skew")
+    df = df.withColumn("_f", pearson3_cdf(v, F.col("loc"), scale, skew)).withColumn("_bound", pearson_bound(F.col("loc"), scale, skew))
     share = (
-        F.when((value >= bound) & (skew < 0), F.lit(0.9995))
-        .when((value <= bound) & (skew > 0), F.lit(0.0005))
-        .when((value < 0.0005) & (prob_zero <= 0), F.lit(0.0005))
-        .when((value < 0.0005) & (prob_zero > 0), F.lit(0.0))
-        .otherwise(F.when(scale > 0, pearson3_cdf(value, loc, scale, skew)))
+        F.when((v >= F.col("_bound")) & (skew < 0), F.lit(0.9995))
+        .when((v <= F.col("_bound")) & (skew > 0), F.lit(0.0005))
+        .when((v < 0.0005) & (p0 <= 0), F.lit(0.0005))
+        .when((v < 0.0005) & (p0 > 0), F.lit(0.0))
+        .otherwise(F.when(scale > 0, F.col("_f")))
     )
-    p = F.when(value.isNotNull() & share.isNotNull(), prob_zero + (F.lit(1.0) - prob_zero) * share)
-    return norm_ppf(F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))))
+    df = df.withColumn("_f", F.when(v.isNotNull(), share))
+    p = F.when(F.col("_f").isNotNull(), F.least(F.greatest(p0 + (F.lit(1.0) - p0) * F.col("_f"), F.lit(0.0)), F.lit(1.0)))
+    return with_norm_ppf(df, p, out).drop("_f", "_bound")
 
 
 def zero_share(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:

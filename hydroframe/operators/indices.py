@@ -56,16 +56,13 @@ def standardise(dense: DataFrame, keys: list[str], value: str, distribution: str
 
     if kind is Distribution.gamma:
         rows = gamma(dense, given)
-        z = fitting.gamma_z(F.col(value), F.col("alpha"), F.col("beta"), F.col("prob_zero_gamma"))
-        return rows.withColumn("z", bounded(z)).drop("alpha", "beta", "prob_zero_gamma")
+        return fitting.with_gamma_z(rows, value, "z").drop("alpha", "beta", "prob_zero_gamma")
     table = fitting.pearson_fit(dense, keys, value, calibration) if given is None else given.select(*on, "prob_zero", "loc", "scale", "skew")
-    rows = dense.join(table, on, "left")
-    rows = rows.withColumn("z", bounded(fitting.pearson_z(F.col(value), F.col("prob_zero"), F.col("loc"), F.col("scale"), F.col("skew")))).drop("prob_zero", "loc", "scale", "skew")
+    rows = fitting.with_pearson_z(dense.join(table, on, "left"), value, "z").drop("prob_zero", "loc", "scale", "skew")
     if not fallback:
         return rows
-    rows = gamma(rows, None)
-    other = bounded(fitting.gamma_z(F.col(value), F.col("alpha"), F.col("beta"), F.col("prob_zero_gamma")))
-    rows = rows.withColumn("_bad", F.avg(F.col("z").isNull().cast("int")).over(by_keys(keys)) > 0.5).withColumn("_other", other)
+    rows = fitting.with_gamma_z(gamma(rows, None), value, "_other")
+    rows = rows.withColumn("_bad", F.avg(F.col("z").isNull().cast("int")).over(by_keys(keys)) > 0.5)
     return rows.withColumn("z", F.when(F.col("_bad"), F.col("_other")).otherwise(F.col("z"))).drop("_bad", "_other", "alpha", "beta", "prob_zero_gamma")
 
 

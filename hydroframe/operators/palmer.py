@@ -279,6 +279,7 @@ def palmer(df: DataFrame, keys: list[str], calibration: tuple[int, int], time: s
         dense = dense.join(lists, keys, "left") if keys else dense.crossJoin(lists)
     wet, dry = wet or default_factors(), dry or default_factors()
     names = [f.name for f in dense.schema if f.name in keys]
+    has_given = given is not None
 
     def work(data: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values("idx", ignore_index=True)
@@ -288,7 +289,7 @@ def palmer(df: DataFrame, keys: list[str], calibration: tuple[int, int], time: s
             return out.assign(pdsi=np.nan, phdi=np.nan, pmdi=np.nan, z=np.nan)
         flows = balance(p, e, float(data["_awc"].iloc[0]))
         years, c = _years(data, calibration), None
-        if given is not None:
+        if has_given:
             found = data["_c"].iloc[0]
             if found is not None and len(found) == 12:
                 c = {k: np.array([row[k] for row in found], dtype=float) for k in ("alpha", "beta", "gamma", "delta")}

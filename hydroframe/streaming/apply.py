@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hydroframe.functions.calendar import Periodicity, period_of
-from hydroframe.functions.expr import bounded, missing_as_null
-from hydroframe.operators.fitting import gamma_z, pearson_z
+from hydroframe.functions.expr import missing_as_null
+from hydroframe.operators.fitting import with_gamma_z, with_pearson_z
 from hydroframe.operators.indices import current_names
 from hydroframe.operators.series import check_scale
 
@@ -49,8 +49,4 @@ def apply_params(sums: DataFrame, params: DataFrame, keys: list[str], distributi
     """keys, time, `out` for each row of accumulated values (a stream or a table), by a join with the static parameters."""
     params = current_names(params)
     rows = sums.withColumn("period", period_of(F.col(time), Periodicity.monthly)).join(params, [*keys, "period"], "left")
-    if distribution == "gamma":
-        z = gamma_z(F.col(value), F.col("alpha"), F.col("beta"), F.col("prob_zero_gamma"))
-    else:
-        z = pearson_z(F.col(value), F.col("prob_zero"), F.col("loc"), F.col("scale"), F.col("skew"))
-    return rows.withColumn(out, bounded(z)).select(*keys, time, out)
+    return (with_gamma_z if distribution == "gamma" else with_pearson_z)(rows, value, out).select(*keys, time, out)
