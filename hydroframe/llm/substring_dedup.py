@@ -54,7 +54,7 @@ def places(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["key", "doc_id", "start", "count", "again"])
 
-    return arrow_map(docs.where("doc_id is not null"), work, PLACES)
+    return arrow_map(docs, work, PLACES)
 
 
 def shared(found: DataFrame, hot: int) -> DataFrame:
@@ -195,11 +195,15 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, hot: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces) for each row."""
     rows = id_text(docs, id_col, text_col)
-    found = shared(places(rows, window, gram), hot)
+    # Both joins read the same columns by the same key, so the texts are shuffled once (ReusedExchange).  Aliases with
+    # metadata are never optimised away on one side only, which would hide from Spark that the two are the same.
+    known = rows.where("doc_id is not null").select(*[F.col(c).alias(c, metadata={"role": c}) for c in ("doc_id", "text")])
+    found = shared(places(known, window, gram), hot)
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "count", "again")).alias("found"))
-    strings = packed(rows.join(lists, "doc_id").select("doc_id", "text", "found"), window)
+    strings = packed(known.join(lists, "doc_id").select("doc_id", "text", "found"), window)
     cuts = repeats(strings, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("found"))
-    return cut(rows.join(cuts, "doc_id", "left").select("doc_id", "text", "found"), window)
+    nothing = F.lit(None).cast("array<struct<start:int,count:int>>").alias("found")
+    return cut(known.join(cuts, "doc_id", "left").select("doc_id", "text", "found").union(rows.where("doc_id is null").select("doc_id", "text", nothing)), window)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
