@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -38,12 +39,16 @@ def arrow_map(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through files in the folder that the session's spark.checkpoint.dir names.
 
-    Where it is unset (tests on one machine), a folder under the warehouse is used.
+    Where it is unset (tests on one machine), a folder under the warehouse is used.  What came before is then out of
+    reach, so the collections let Spark's cleaner delete its shuffle files now and not at some later time.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def shared_folder(spark: SparkSession) -> str:

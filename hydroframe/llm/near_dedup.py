@@ -3,16 +3,17 @@
 1. Each text gives its set of word shingles as 64-bit hashes, the set's digest, and the `k` smallest hashes: its sketch.
    Texts with equal sets are one class; from here on its smallest doc_id stands for the class.
 2. Inverted lists: a class is listed under each two neighbouring values of its sketch.  Of the k smallest values of a union
-   at least `percent` % are expected in both sets, so two sets that are to be linked have dozens of such neighbours in common;
-   that none of 64 is common has a chance under 1e-18.  Lists of up to `short` classes give their pairs.  The members of
-   longer lists are listed again under four neighbouring values (chance of none: under 1e-6), which only much alike sets
-   share.  Lists which are still longer give pairs with their first member and with the next one: a number in proportion.
-3. Pairs are counted (their overlap), and the sketch of their union estimates their similarity; a pair is dropped only if
-   sizes exclude it or the estimate is `slack` below the threshold, five standard deviations.
+   at least `percent` % are expected in both sets, so two sets that are to be linked have dozens of such neighbours in
+   common; that none is has a chance under 1e-13 for k = 48.  Lists of up to `short` classes give the pairs whose sizes
+   allow a link.  The members of longer lists are listed again under four neighbouring values (chance of none: about 1e-5),
+   which only much alike sets share.  Lists which are still longer give pairs with the next member by size and with the
+   first of about the same size: a number in proportion.
+3. A pair's overlap is the number of lists that it shares, the longer keys counting more.  Overlaps under three are dropped
+   (not for small sets), then the sketch of the union estimates the similarity, and pairs `slack` below the threshold go.
 4. The rest are compared on their full sets: linked if 100 * intersection >= percent * union.
-5. Links become components by alternating large and small stars.  Then the long lists are closed exactly: members which
-   are not in their list's largest component are compared with all members of other components, so that in the end
-   all pairs of a long list were compared or are connected.
+5. Links become components by alternating large and small stars.  Then the long lists that hold several components are
+   closed exactly: two sets that are to be linked share one of the rarest 100 - percent % (and one) of their shingles,
+   whatever the order, so members of different components are compared where they share such a shingle.
 
 Edge cases: null and empty texts have no set and are alone; a text with fewer words than a shingle is one shingle; very long
 texts are read whole; equal texts are one class and travel once; rows without an id are alone; rows that share an id
@@ -26,12 +27,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydroframe.llm.common import arrow_map, checkpoint, id_text, in_slices, table
 from hydroframe.llm.hashing import mix, run_hashes, word_hashes
 
-PAIRS = "kind int, a long, b long"
+PAIRS = "kind int, a long, b long, n int"  #: n: weight of a pair, or size
 PAIR, LONGER, MEMBER = 0, 1, 2
 
 
@@ -60,69 +62,78 @@ def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
 
 
 def listings(classes: DataFrame) -> DataFrame:
-    """key (two neighbours), longer (four neighbours) and rep for each value of each sketch but the last."""
+    """key (two neighbours), longer (four neighbours), size and rep for each value of each sketch but the last."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, 2000):
-            keys, longer, reps = [], [], []
-            for rep, sketch in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            made = []
+            for rep, size, sketch in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 values = np.asarray(sketch, dtype=np.int64).view(np.uint64)
                 if values.size < 4:  # such a set is linked with equal ones only, its class
                     continue
                 padded = np.concatenate((values, np.zeros(3, dtype=np.uint64)))
-                keys.append(run_hashes(values, 2))
-                longer.append(run_hashes(padded, 4)[: values.size - 1])
-                reps.append(np.full(values.size - 1, rep, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(longer).view(np.int64)), pa.array(np.concatenate(reps))], names=["key", "longer", "rep"])
+                n = values.size - 1
+                made.append((run_hashes(values, 2).view(np.int64), run_hashes(padded, 4)[:n].view(np.int64), np.full(n, size, dtype=np.int32), np.full(n, rep, dtype=np.int64)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["key", "longer", "size", "rep"])
 
-    return arrow_map(classes.select("rep", "sketch"), work, "key long, longer long, rep long")
+    return arrow_map(classes.select("rep", "size", "sketch"), work, "key long, longer long, size int, rep long")
 
 
-def list_pairs(listed: DataFrame, short: int, last: bool) -> DataFrame:
-    """Pairs of the short lists.  Long lists give (LONGER, longer, rep), or at the `last` level pairs and (MEMBER, key, rep)."""
+def list_pairs(listed: DataFrame, short: int, percent: int, last: bool) -> DataFrame:
+    """Pairs of the short lists.  Long lists give (LONGER, longer, rep, size), or at the `last` level pairs and (MEMBER, key, rep)."""
+    weight = 3 if last else 1
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, a.size, 100_000):
-                x, y = a[at : at + 100_000], b[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(x.size, kind, dtype=np.int32)), pa.array(x), pa.array(y)], names=["kind", "a", "b"])
+                cols = [c[at : at + 100_000] for c in (a, b, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(cols[0].size, kind, dtype=np.int32)), *map(pa.array, cols)], names=["kind", "a", "b", "n"])
+
+        def pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (a != b)
+            a, b = a[keep], b[keep]
+            yield from batch(PAIR, np.minimum(a, b), np.maximum(a, b), np.full(a.size, weight, dtype=np.int32))
+
+        def long_list(key: int, sizes: np.ndarray, reps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """A part of a long list; `state` holds the first of the last member's size class, and the last member."""
+            nonlocal state
+            classes = np.floor(np.log(sizes) / np.log(100 / percent)).astype(np.int64)
+            if state is None or state[0] != key:
+                state = (key, classes[0], (reps[0], sizes[0]), (reps[0], sizes[0]))
+            _, last_class, first, before = state
+            at = np.flatnonzero(np.concatenate(([classes[0] != last_class], classes[1:] != classes[:-1])))
+            place = np.searchsorted(at, np.arange(reps.size), side="right") - 1
+            head = np.where(place >= 0, reps[at[place]] if at.size else 0, first[0])
+            head_size = np.where(place >= 0, sizes[at[place]] if at.size else 0, first[1])
+            yield from pairs(head, reps, head_size, sizes)
+            yield from pairs(np.concatenate(([before[0]], reps[:-1])), reps, np.concatenate(([before[1]], sizes[:-1])), sizes)
+            yield from batch(MEMBER, np.full(reps.size, key), reps, sizes)
+            state = (key, classes[-1], (head[-1], head_size[-1]), (reps[-1], sizes[-1]))
 
         def emit(cols: list[np.ndarray], open_end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, long_key, head, before
-            keys, longer, reps = cols
+            nonlocal held, long_key
+            keys, longer, sizes, reps = cols
             starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-            sizes = np.diff(np.concatenate((starts, [keys.size])))
-            is_long = sizes > short
+            lengths = np.diff(np.concatenate((starts, [keys.size])))
+            is_long = lengths > short
             if long_key is not None and keys[0] == long_key:
                 is_long[0] = True
-            held = None
+            held, long_key = None, keys[-1] if is_long[-1] else None
             if open_end and not is_long[-1]:
                 held = [c[starts[-1] :] for c in cols]
-                starts, sizes, is_long = starts[:-1], sizes[:-1], is_long[:-1]
-            for size in np.unique(sizes[~is_long]):
-                if size > 1:
-                    at = starts[(sizes == size) & ~is_long][:, None] + np.arange(size)
-                    i, j = np.triu_indices(size, 1)
-                    members = reps[at]
-                    yield from batch(PAIR, members[:, i].ravel(), members[:, j].ravel())
-            for start, size in zip(starts[is_long], sizes[is_long], strict=True):
-                members = reps[start : start + size]
-                if not last:
-                    yield from batch(LONGER, longer[start : start + size], members)
-                    continue
-                if keys[start] != long_key or head is None:
-                    head, before = members[0], members[0]
-                yield from batch(MEMBER, np.full(size, keys[start]), members)
-                yield from batch(PAIR, np.full(size, head), members)
-                yield from batch(PAIR, np.concatenate(([before], members[:-1])), members)
-                long_key, before = keys[start], members[-1]
-            if is_long.size and is_long[-1] and held is None:
-                long_key = keys[-1]
-            elif held is not None:
-                long_key = None
-
-        held, long_key, head, before = None, None, None, None
+                starts, lengths, is_long = starts[:-1], lengths[:-1], is_long[:-1]
+            for length in np.unique(lengths[~is_long]):
+                if length > 1:
+                    at = starts[(lengths == length) & ~is_long][:, None] + np.arange(length)
+                    i, j = np.triu_indices(length, 1)
+                    members, big = reps[at], sizes[at]
+                    yield from pairs(members[:, i].ravel(), members[:, j].ravel(), big[:, i].ravel(), big[:, j].ravel())
+            for start, length in zip(starts[is_long], lengths[is_long], strict=True):
+                part = slice(start, start + length)
+                yield from long_list(keys[start], sizes[part], reps[part]) if last else batch(LONGER, longer[part], reps[part], sizes[part])
+
+        held, long_key, state = None, None, None
         for part in batches:
             if part.num_rows:
                 cols = [c.to_numpy(zero_copy_only=False) for c in part.columns]
@@ -132,14 +143,15 @@ def list_pairs(listed: DataFrame, short: int, last: bool) -> DataFrame:
         if held is not None:
             yield from emit(held, False)
 
-    return arrow_map(listed.repartition("key").sortWithinPartitions("key", "rep"), work, PAIRS)
+    return arrow_map(listed.repartition("key").sortWithinPartitions("key", "size", "rep"), work, PAIRS)
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
-    """The pairs (a, b) that sizes and the sketch of their union do not exclude."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap")).where("a <> b").join(side("a"), "a").join(side("b"), "b")
-    both = both.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    """The pairs (a, b) that the sketch of their union does not exclude."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    few = checkpoint(classes.join(used, "rep", "left_semi"))
+    side = lambda x: few.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
     both = both.withColumn("low", F.when(F.greatest("size_a", "size_b") > k, F.slice(union, 1, k)).otherwise(union))
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.col("low")))
@@ -188,31 +200,58 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 64, short: int = 64, slack: float = 0.25) -> DataFrame:
+def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, component) in different components that share one of their rarest shingles."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches, 256):
+            for node, component, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found = shingles(text, words)
+                n = found.size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, component)), pa.array(np.full(n, n, dtype=np.int32)), pa.array(found)], names=["node", "component", "size", "token"])
+
+    rows = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "component", "text")
+    tokens = checkpoint(arrow_map(rows, work, "node long, component long, size int, token long"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    order = W.partitionBy("node").orderBy("n", "token")
+    ranked = tokens.join(counts, "token").withColumn("r", F.row_number().over(order))
+    rare = checkpoint(ranked.where(f"r <= size - ceil({percent} * size / 100D) + 1").select("token", "node", "component", "size"))
+    sizes = rare.groupBy("token", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    apart = rare.join(largest.select("token", "largest"), "token").where("component <> largest").select("token", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("size").alias("size_x"))
+    met = apart.join(rare, "token").where(f"of_x <> component and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 48, short: int = 64, slack: float = 0.3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = id_text(docs, id_col, text_col)
     marked = checkpoint(sketches(rows, words, k))
     alone = marked.where("digest is not null and doc_id is not null").select("digest", F.struct("doc_id", "size", "sketch").alias("x"))
-    classes = alone.groupBy("digest").agg(F.min("x.doc_id").alias("rep"), F.first("x.size").alias("size"), F.first("x.sketch").alias("sketch"))
-    classes = checkpoint(classes)
-    level1 = checkpoint(list_pairs(listings(classes), short, False))
-    longer = level1.where(F.col("kind") == LONGER).select(F.col("a").alias("key"), F.lit(0).cast("long").alias("longer"), F.col("b").alias("rep"))
-    level2 = checkpoint(list_pairs(longer, short, True))
-    pairs = level1.union(level2).where(F.col("kind") == PAIR).select("a", "b")
-    links = checkpoint(verified(likely(pairs, classes, k, percent, slack), rows, words, percent))
-    found = components(links)
+    classes = checkpoint(alone.groupBy("digest").agg(F.min("x.doc_id").alias("rep"), F.first("x.size").alias("size"), F.first("x.sketch").alias("sketch")))
+    marked = marked.select("doc_id", "size", "digest")
+    level1 = checkpoint(list_pairs(listings(classes), short, percent, False))
+    longer = level1.where(F.col("kind") == LONGER).select(F.col("a").alias("key"), F.lit(0).cast("long").alias("longer"), F.col("n").alias("size"), F.col("b").alias("rep"))
+    level2 = checkpoint(list_pairs(longer, short, percent, True))
     members = level2.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
+    small = classes.where("size < 16").select(F.col("rep").alias("a"), F.lit(True).alias("small"))
+    overlaps = level1.union(level2).where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("overlap")).join(small, "a", "left")
+    pairs = checkpoint(overlaps.where("overlap >= 3 or small").select("a", "b"))
+    pairs = checkpoint(likely(pairs, classes, k, percent, slack))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("node")).distinct()
+    texts = checkpoint(rows.join(used, "doc_id", "left_semi"))
+    links = checkpoint(verified(pairs, texts, words, percent))
+    found = components(links)
     if not members.isEmpty():
-        placed = checkpoint(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        apart = placed.join(largest.select("key", "largest"), "key").where("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("of_x"))
-        more = apart.join(placed, "key").where("of_x <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        fresh = checkpoint(verified(likely(more, classes, k, percent, slack), rows, words, percent))
+        placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        placed = checkpoint(placed)
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        nodes = checkpoint(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
+        fresh = checkpoint(verified(across(nodes, texts, words, percent), texts, words, percent))
         if not fresh.isEmpty():
             found = components(links.union(fresh))
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    done = marked.select("doc_id", "size", "digest").join(labels, "digest", "left")
+    done = marked.join(labels, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return done.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
