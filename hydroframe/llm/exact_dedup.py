@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import id_text, table
+from hydroframe.llm.common import checkpoint, id_text, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,7 +49,7 @@ def recipes(docs: DataFrame, chunk: int = 256, bits: int = 64) -> DataFrame:
         return plain.select("doc_id", "text", "recipe")
     # Chunks under a shared fingerprint are numbered by their content; the documents that hold one get the numbers.
     rank = seen.join(shared, "fp", "left_semi").groupBy("fp").agg(F.sort_array(F.collect_list("chunk")).alias("apart"))
-    rows = cut.withColumn("uid", F.monotonically_increasing_id())
+    rows = checkpoint(cut.withColumn("uid", F.monotonically_increasing_id()))  # else each use may number the rows anew
     held = rows.select("uid", F.posexplode("chunks").alias("pos", "chunk")).withColumn("fp", fingerprint(F.col("chunk"), bits))
     numbered = held.join(rank, "fp", "left").withColumn("number", F.coalesce(F.array_position("apart", F.col("chunk")).cast("int"), F.lit(0)))
     made = numbered.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "fp", "number"))).alias("r")).select("uid", F.transform("r", lambda x: F.struct(x["fp"].alias("fp"), x["number"].alias("number"))).alias("recipe"))
