@@ -12,8 +12,8 @@
    (not for small sets), then the sketch of the union estimates the similarity, and pairs `slack` below the threshold go.
 4. The rest are compared on their full sets: linked if 100 * intersection >= percent * union.
 5. Links become components by alternating large and small stars.  Then the long lists that hold several components are
-   closed exactly: two sets that are to be linked share one of the rarest 100 - percent % (and one) of their shingles,
-   whatever the order, so members of different components are compared where they share such a shingle.
+   closed exactly: members outside the largest component of such lists are compared with all members of about their size,
+   block by block on full sets; only links are given back, and of these as many as connect the components.
 
 Edge cases: null and empty texts have no set and are alone; a text with fewer words than a shingle is one shingle; very long
 texts are read whole; equal texts are one class and travel once; rows without an id are alone; rows that share an id
@@ -25,9 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydroframe.llm.common import arrow_map, checkpoint, id_text, in_slices, table
@@ -200,27 +200,71 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of `nodes` (node, component) in different components that share one of their rarest shingles."""
+def block_links(parts: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between different components in one pair of blocks, as many as it takes to connect them: exact counts of
+    common shingles by an inverted index over the block's sets."""
+    nodes, labels, apart = parts["node"].to_numpy(), parts["component"].to_numpy(), parts["apart"].to_numpy(bool)
+    sets = [np.frombuffer(x, dtype=np.int64) for x in parts["tokens"]]
+    sizes = np.array([x.size for x in sets])
+    owner = np.repeat(np.arange(nodes.size), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    lists = owner[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token))
+    begins = np.concatenate(([0], ends[:-1]))
+    cut = np.concatenate(([0], np.cumsum(sizes)))
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for x in np.flatnonzero(apart):
+        mine = token[cut[x] : cut[x + 1]]
+        n = ends[mine] - begins[mine]
+        at = np.repeat(begins[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        common = np.bincount(lists[at], minlength=nodes.size)
+        for y in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common)):
+            one, two = root(labels[x]), root(labels[y])
+            if one != two:
+                top[max(one, two)] = min(one, two)
+                out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+    return out
+
+
+def across(placed: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 500) -> DataFrame:
+    """Links (a, b) between different components of long lists (key, node, component), enough to connect all that are linked.
+
+    Lists that have nodes in common are one family.  Its nodes outside its largest component are compared with all of its
+    nodes of the same size class and the two next to it, in pairs of blocks of about `block` nodes, on full sets.
+    """
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head")).where("low < high").select("key", "head")
+    held = checkpoint(placed.join(mixed, "key"))
+    family = components(held.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
+    nodes = held.select("node", "component").distinct().join(family, "node")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, 256):
-            for node, component, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found = shingles(text, words)
-                n = found.size
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, component)), pa.array(np.full(n, n, dtype=np.int32)), pa.array(found)], names=["node", "component", "size", "token"])
-
-    rows = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "component", "text")
-    tokens = checkpoint(arrow_map(rows, work, "node long, component long, size int, token long"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    order = W.partitionBy("node").orderBy("n", "token")
-    ranked = tokens.join(counts, "token").withColumn("r", F.row_number().over(order))
-    rare = checkpoint(ranked.where(f"r <= size - ceil({percent} * size / 100D) + 1").select("token", "node", "component", "size"))
-    sizes = rare.groupBy("token", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    apart = rare.join(largest.select("token", "largest"), "token").where("component <> largest").select("token", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("size").alias("size_x"))
-    met = apart.join(rare, "token").where(f"of_x <> component and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        for part in in_slices(batches, 512):
+            sets = [shingles(t, words) for t in part.column(3).to_pylist()]
+            sizes = np.array([x.size for x in sets])
+            classes = np.floor(np.log(sizes) / np.log(100 / percent) + 1e-9).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "component", "family", "c", "tokens"])
+
+    rows = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "component", "family", "text")
+    rows = arrow_map(rows, work, "node long, component long, family long, c int, tokens binary")
+    counts = nodes.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    rows = checkpoint(rows.join(counts, "family").withColumn("apart", F.col("component") != F.col("largest")).drop("largest"))
+    blocks = lambda df, c, n: df.groupBy("family", F.col("c").alias(c)).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    some = blocks(rows.where("apart"), "c", "n").withColumn("d", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    pairs = some.join(blocks(rows, "d", "m"), ["family", "d"])
+    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, m - 1)")))
+    where = ["family", "c", "i", "d", "j"]
+    left = rows.where("apart").join(pairs, ["family", "c"]).where("pmod(hash(node), n) = i")
+    right = rows.withColumnRenamed("c", "d").withColumn("apart", F.lit(False)).join(pairs, ["family", "d"]).where("pmod(hash(node), m) = j")
+    both = left.select(*where, "node", "component", "apart", "tokens").union(right.select(*where, "node", "component", "apart", "tokens"))
+    link = lambda parts: pd.DataFrame(block_links(parts, percent), columns=["a", "b"])
+    return both.groupBy(*where).applyInPandas(link, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 48, short: int = 64, slack: float = 0.3) -> DataFrame:
@@ -245,9 +289,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not members.isEmpty():
         placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         placed = checkpoint(placed)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        nodes = checkpoint(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
-        fresh = checkpoint(verified(across(nodes, texts, words, percent), texts, words, percent))
+        fresh = checkpoint(across(placed, texts, words, percent))
         if not fresh.isEmpty():
             found = components(links.union(fresh))
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
