@@ -128,8 +128,6 @@ def test_quality_base(docs, texts):
 
 
 def test_quality_distance(spark):
-    good = " ".join(["the river of the market is over and to that house in winter with"] * 1)
-    clean = [(i, " ".join(f"{w}{'' if k % 3 else chr(97 + (i * 7 + k) % 26)}" for k, w in enumerate((good + " ") * 4 for _ in [0])), "en") for i in range(3)]
     rng = np.random.default_rng(1)
     vocabulary = ["the", "of", "and", "to", "in", "is", "that", "for", "on", "with"] + [f"word{chr(97 + k)}" for k in range(26)]
     clean = [(i, " ".join(rng.choice(vocabulary, 150)), "en") for i in range(40)]
