@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-class IndexError_(Exception):
+class HydroError(Exception):
     """Base of all errors of this library."""
 
 
-class FittingError(IndexError_):
+class FittingError(HydroError):
     """A distribution could not be fitted."""
 
 
@@ -25,19 +25,19 @@ class NoConvergence(FittingError):
     """An iteration did not settle."""
 
 
-class DimensionMismatch(IndexError_):
+class DimensionMismatch(HydroError):
     """Inputs that should have the same cells or times do not."""
 
 
-class CoordinateError(IndexError_):
+class CoordinateError(HydroError):
     """A needed key or time column is missing, or nothing is left after aligning."""
 
 
-class InputTypeError(IndexError_, TypeError):
+class InputTypeError(HydroError, TypeError):
     """Not a DataFrame, or a column of a wrong type."""
 
 
-class InvalidArgument(IndexError_):
+class InvalidArgument(HydroError):
     def __init__(self, message: str, argument: str = "", value: object = None, valid: str = ""):
         super().__init__(message)
         self.argument, self.value, self.valid = argument, value, valid
@@ -47,7 +47,7 @@ class PeriodicityError(InvalidArgument):
     """The steps are neither monthly nor daily."""
 
 
-class ShapeError(IndexError_, ValueError):
+class ShapeError(HydroError, ValueError):
     """A series that is too short, or inputs of unequal length."""
 
 
