@@ -193,7 +193,7 @@ class Encoder:
 
     ODD = re.compile(r"[^\S \n]|  | \n|\n |[\x1c-\x1f]")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000, spaces_lead: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000, spaces_lead: bool = True):
         import regex
 
         self.find, self.machine, self.spaces_lead = regex.compile(pattern).findall, Transducer(ranks), spaces_lead
