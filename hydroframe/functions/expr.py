@@ -83,16 +83,27 @@ def lgamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(total)
 
 
-def pearson_from_lmoments(l1: Column, l2: Column, t3: Column) -> tuple[Column, Column, Column]:
-    """loc, scale, skew; null where no distribution has these L-moments (l2 <= 0 or |t3| >= 1)."""
+def pearson_shape(t3: Column) -> Column:
+    """Shape of the gamma distribution behind a Pearson type III one with this L-skewness."""
     size = F.abs(t3)
     c1, c2, c3 = PEARSON_NEAR
     d1, d2, d3, d4, d5, d6 = PEARSON_FAR
     near, far = F.lit(3 * math.pi) * size * size, F.lit(1.0) - size
-    shape = F.when(size < 0.333333333, F.try_divide(F.lit(1.0) + c1 * near, near * poly(near, [1.0, c2, c3]))).otherwise(far * poly(far, [d1, d2, d3]) / poly(far, [1.0, d4, d5, d6]))
+    close = F.try_divide(F.lit(1.0) + c1 * near, near * poly(near, [1.0, c2, c3]))
+    return F.when(size < 0.333333333, close).otherwise(far * poly(far, [d1, d2, d3]) / poly(far, [1.0, d4, d5, d6]))
+
+
+def pearson_from_lmoments(l1: Column, l2: Column, t3: Column, shape: Column | None = None, log_ratio: Column | None = None) -> tuple[Column, Column, Column]:
+    """loc, scale, skew; null where no distribution has these L-moments (l2 <= 0 or |t3| >= 1).
+
+    `shape` and `log_ratio` are pearson_shape(t3) and lgamma(shape) - lgamma(shape + 0.5) where these are columns already.
+    """
+    size = F.abs(t3)
+    shape = pearson_shape(t3) if shape is None else shape
+    log_ratio = lgamma(shape) - lgamma(shape + 0.5) if log_ratio is None else log_ratio
     flat, valid = size <= 1e-6, (l2 > 0) & (size < 1)
     root = F.sqrt(shape)
-    scale = F.when(flat, l2 * math.sqrt(math.pi)).otherwise(F.lit(math.sqrt(math.pi)) * l2 * F.exp(lgamma(shape) - lgamma(shape + 0.5)) * root)
+    scale = F.when(flat, l2 * math.sqrt(math.pi)).otherwise(F.lit(math.sqrt(math.pi)) * l2 * F.exp(log_ratio) * root)
     skew = F.when(flat, F.lit(0.0)).otherwise(F.signum(t3) * F.try_divide(F.lit(2.0), root))
     return F.when(valid, l1), F.when(valid, scale), F.when(valid, skew)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroframe.functions.expr import pearson_bound, pearson_from_lmoments, with_norm_ppf
+from hydroframe.functions.expr import lgamma, pearson_bound, pearson_from_lmoments, pearson_shape, with_norm_ppf
 from hydroframe.functions.special import gamma_cdf, pearson3_cdf
 from hydroframe.operators.series import by_keys, calibration_years
 
@@ -52,8 +52,11 @@ def lmoments(df: DataFrame, keys: list[str], value: str = "value", calibration:
 
 def pearson_fit(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
     """keys, period, prob_zero, loc, scale, skew; all 0 for a period with fewer than four values besides zeros, or no fit."""
-    m = lmoments(df, keys, value, calibration)
-    loc, scale, skew = pearson_from_lmoments(F.col("l1"), F.col("l2"), F.col("t3"))
+    m = lmoments(df, keys, value, calibration).withColumn("_shape", pearson_shape(F.col("t3")))
+    m = m.withColumn("_log", lgamma(F.col("_shape")) - lgamma(F.col("_shape") + 0.5))
+    loc, scale, skew = pearson_from_lmoments(F.col("l1"), F.col("l2"), F.col("t3"), F.col("_shape"), F.col("_log"))
+    m = m.withColumns({"_loc": loc, "_scale": scale, "_skew": skew})
+    loc, scale, skew = F.col("_loc"), F.col("_scale"), F.col("_skew")
     enough = (F.col("n") - F.col("n_zero") >= 4) & scale.isNotNull() & skew.isNotNull()
     or_zero = lambda c: F.when(enough, c).otherwise(F.lit(0.0))
     return m.select(*keys, "period", or_zero(F.try_divide(F.col("n_zero"), F.col("n"))).alias("prob_zero"), or_zero(loc).alias("loc"), or_zero(scale).alias("scale"), or_zero(skew).alias("skew"))
