@@ -48,13 +48,19 @@ def densify(df: DataFrame, keys: list[str], time: str = "time", values: tuple[st
     check_frame(df, *keys, time, *values)
     periodicity = Periodicity.of(periodicity)
     n = periodicity.steps
-    rows = df.select(*keys, F.year(time).alias("year"), period_of(F.col(time), periodicity).cast("int").alias("period"), *[missing_as_null(F.col(v)).alias(v) for v in values])
-    slot = F.col("year") * n + F.col("period")
-    span = rows.groupBy(*keys).agg(F.min("year").alias("_first"), F.max("year").alias("_last"), F.max(slot).alias("_end"))
-    years = span.withColumn("year", F.explode(F.sequence("_first", "_last")))
-    grid = years.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("pad", slot > F.col("_end"))
-    grid = grid.withColumn("idx", (F.col("year") - F.col("_first")) * n + F.col("period") - 1).drop("_first", "_last", "_end")
-    full = grid.join(rows, [*keys, "year", "period"], "left")
+    slot = F.year(time) * n + period_of(F.col(time), periodicity).cast("int")
+    rows = df.select(*keys, slot.alias("_slot"), *[missing_as_null(F.col(v)).alias(v) for v in values]).where("_slot is not null")
+    # Each row also makes the steps up to the next one, the first row those before it and the last those after it.  All that
+    # needs is the order within a cell, so there is one exchange by the keys, and the windows of an index reuse it.
+    w = by_keys(keys).orderBy("_slot")
+    rows = rows.withColumns({"_before": F.lag("_slot").over(w), "_after": F.lead("_slot").over(w), "_origin": F.min(F.floor((F.col("_slot") - 1) / n)).over(by_keys(keys)).cast("int")})
+    own_year = F.floor((F.col("_slot") - 1) / n).cast("int")
+    first = F.when(F.col("_before").isNull(), own_year * n + 1).otherwise(F.col("_slot"))
+    last = F.when(F.col("_after").isNull(), own_year * n + n).otherwise(F.greatest(F.col("_after") - 1, F.col("_slot")))
+    full = rows.withColumn("_s", F.explode(F.sequence(first, last)))
+    year = F.floor((F.col("_s") - 1) / n).cast("int")
+    full = full.withColumns({v: F.when(F.col("_s") == F.col("_slot"), F.col(v)) for v in values})
+    full = full.select(*keys, year.alias("year"), (F.col("_s") - year * n).alias("period"), (F.col("_after").isNull() & (F.col("_s") > F.col("_slot"))).alias("pad"), (F.col("_s") - F.col("_origin") * n - 1).alias("idx"), *values)
     if periodicity is Periodicity.daily:
         w = by_keys(keys).orderBy("idx")
         invented = (F.col("period") == 60) & ~is_leap(F.col("year"))
