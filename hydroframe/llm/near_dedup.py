@@ -7,7 +7,8 @@
    common; that none is has a chance under 1e-13 for k = 48.  Lists of up to `short` classes give the pairs whose sizes
    allow a link.  The members of longer lists are listed again under four neighbouring values (chance of none: about 1e-5),
    which only much alike sets share.  Lists which are still longer give pairs with the next member by size and with the
-   first of about the same size: a number in proportion.
+   first of about the same size: a number in proportion.  Of sets that are whole in their sketches, at 80 %, only those of
+   four and five values can be linked and have no four neighbours in common; these are found by the subsets of four.
 3. A pair's overlap is the number of lists that it shares, the longer keys counting more.  Overlaps under three are dropped
    (not for small sets), then the sketch of the union estimates the similarity, and pairs `slack` below the threshold go.
 4. The rest are compared on their full sets: linked if 100 * intersection >= percent * union.
@@ -146,6 +147,14 @@ def list_pairs(listed: DataFrame, short: int, percent: int, last: bool) -> DataF
     return arrow_map(listed.repartition("key").sortWithinPartitions("key", "size", "rep"), work, PAIRS)
 
 
+def extended(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of four values and those with one more, exact: at most five for each set of five."""
+    fours = classes.where("size = 4").select(F.col("rep").alias("x"), F.array_sort("sketch").alias("subset"))
+    fives = classes.where("size = 5").select(F.col("rep").alias("y"), F.array_sort("sketch").alias("s"))
+    fives = fives.select("y", F.explode(F.expr("transform(sequence(0, 4), i -> filter(s, (v, j) -> j <> i))")).alias("subset"))
+    return fours.join(fives, "subset").where(F.lit(100 * 4 >= percent * 5)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """The pairs (a, b) that the sketch of their union does not exclude."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -284,7 +293,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpoint(likely(pairs, classes, k, percent, slack))
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("node")).distinct()
     texts = checkpoint(rows.join(used, "doc_id", "left_semi"))
-    links = checkpoint(verified(pairs, texts, words, percent))
+    links = checkpoint(verified(pairs, texts, words, percent).union(extended(classes, percent)))
     found = components(links)
     if not members.isEmpty():
         placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))

@@ -237,6 +237,15 @@ def test_near_groups_of_many(spark):
     assert rows(near_dedup.near_groups(df, words=2, short=5), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(made, 2)
 
 
+def test_near_groups_of_short_texts(spark):
+    """Over 80 extensions of one text by a word: sets of five values around one of four, all in long lists."""
+    text = "one two three four five"
+    made = [(0, text, None)] + [(1 + i, f"w{i} {text}" if i % 2 else f"{text} w{i}", None) for i in range(160)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    got = rows(near_dedup.near_groups(df, words=2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == plain_groups(made, 2) and {x[2] for x in got} == {0}
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
