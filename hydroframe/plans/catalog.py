@@ -470,6 +470,14 @@ def pet_hargreaves(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pet.hargreaves_pet(low, high, K, 35.0), "pet")
 
 
+@query(ORACLES["pet_hargreaves"].replace(" WHERE l_linenumber <= 4", "").replace(" WHERE l_linenumber >= 2", ""))
+def pet_hargreaves_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every cell, where pet_hargreaves shows the alignment of unequal series by its cells 2-4."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time")).agg(F.avg("l_quantity").alias("q"))
+    low, high = rows.select("cell", "time", (F.col("q") - 20).alias("tmin")), rows.select("cell", "time", (F.col("q") + 10).alias("tmax"))
+    return rounded(pet.hargreaves_pet(low, high, K, 35.0), "pet")
+
+
 # Palmer ------------------------------------------------------------------------------------------------------------
 
 INCHES = f"""{RAIN}, mn AS (SELECT cell, sum(v) / count(v) AS n FROM raw GROUP BY cell),

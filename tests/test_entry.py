@@ -37,5 +37,10 @@ def test_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_hargreaves_of_every_cell(spark, duck):
+    got = entry.queries()["pet_hargreaves_all"](spark, SF).groupBy("cell").count().collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute("SELECT l_linenumber, count(DISTINCT l_shipdate::DATE) FROM lineitem GROUP BY 1").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cell", "time", "spi"]
