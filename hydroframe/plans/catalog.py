@@ -57,6 +57,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return days.join(sums, ["cell", "time"], "left").fillna(0.0, ["value"])
 
 
+def daily_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Rain of every day of each cell's years, from its first to its last, 0 on days without rows."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time"), "l_quantity")
+    sums = rows.groupBy("cell", "time").agg(F.sum("l_quantity").alias("value"))
+    spans = sums.groupBy("cell").agg(F.min(F.year("time")).alias("y0"), F.max(F.year("time")).alias("y1"))
+    days = spans.select("cell", F.explode(F.expr("sequence(make_date(y0, 1, 1), make_date(y1, 12, 31))")).alias("time"))
+    return days.join(sums, ["cell", "time"], "left").fillna(0.0, ["value"])
+
+
 def site(df: DataFrame) -> DataFrame:
     return df.withColumns({"lat": F.col("cell") * 8.0 - 20.0, "awc": F.col("cell") * 0.5 + 2.0})
 
@@ -196,6 +205,19 @@ def invented_leap_days(spark: SparkSession, sf: str) -> DataFrame:
     return dense.where((F.col("period") == 60) & ~calendar.is_leap(F.col("year"))).select("cell", "year", "value")
 
 
+def _all_years(sql: str) -> str:
+    """The SQL of a daily query over each cell's own years."""
+    days = "SELECT cell, unnest(range(make_date(y0, 1, 1), make_date(y1 + 1, 1, 1), INTERVAL 1 DAY))::DATE AS t FROM (SELECT cell, min(year(t))::INT AS y0, max(year(t))::INT AS y1 FROM q GROUP BY cell)"
+    fixed = "SELECT cell, unnest(range(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 1 DAY))::DATE AS t FROM (SELECT DISTINCT cell FROM q)"
+    return sql.replace(" WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '2001-01-01'", "").replace(fixed, days)
+
+
+@query(_all_years(ORACLES["invented_leap_days"]))
+def invented_leap_days_all(spark: SparkSession, sf: str) -> DataFrame:
+    dense = series.densify(daily_all(spark, sf), K, periodicity="daily")
+    return dense.where((F.col("period") == 60) & ~calendar.is_leap(F.col("year"))).select("cell", "year", "value")
+
+
 # Indices -----------------------------------------------------------------------------------------------------------
 
 
@@ -238,6 +260,16 @@ def pci_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(indices.pci(daily(spark, sf), K, mode="calendar"), "pci")
 
 
+@query(_all_years(_pci_sql(True)))
+def pci_reference_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(indices.pci(daily_all(spark, sf), K), "pci")
+
+
+@query(_all_years(_pci_sql(False)))
+def pci_calendar_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(indices.pci(daily_all(spark, sf), K, mode="calendar"), "pci")
+
+
 def _summed(spark: SparkSession, sf: str, scale: int = 3, less: float = 0.0) -> DataFrame:
     df = rain(spark, sf).withColumn("value", F.greatest(F.col("value") - less, F.lit(0.0)))
     return series.trailing_sum(series.densify(df, K), K, "value", scale)

@@ -42,5 +42,12 @@ def test_hargreaves_of_every_cell(spark, duck):
     assert sorted(map(tuple, got)) == sorted(duck.execute("SELECT l_linenumber, count(DISTINCT l_shipdate::DATE) FROM lineitem GROUP BY 1").fetchall())
 
 
+@pytest.mark.parametrize(("name", "where"), [("pci_reference_all", "true"), ("pci_calendar_all", "true"), ("invented_leap_days_all", "year % 4 <> 0")])
+def test_every_year(spark, duck, name, where):
+    want = duck.execute(f"SELECT cell, year FROM (SELECT DISTINCT l_linenumber AS cell, year(l_shipdate) AS year FROM lineitem) WHERE {where}").fetchall()
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert sorted(zip(got["cell"], got["year"], strict=True)) == sorted(want) and got.notna().all(axis=None)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cell", "time", "spi"]
