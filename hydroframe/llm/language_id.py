@@ -108,6 +108,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(r"lang is not null and octet_length(text) <= {} and text rlike '\\p{{L}}'".format(max_train_bytes))
     first = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Hashes first, so that copies count once and only texts of the sample travel.
+    low = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
+    low = low.orderBy("n", "lang").limit(max_train_rows).select("lang", "h")
+    rows = rows.join(F.broadcast(low), ["lang", "h"]).select("lang", "text").distinct()
     some = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_train_rows).collect()
     if len({r["lang"] for r in some}) > max_languages:
         raise ValueError(f"more than {max_languages} languages")

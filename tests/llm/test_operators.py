@@ -175,6 +175,18 @@ def test_kernel_is_the_presence_kernel():
             assert len(sets[i] & sets[j]) == len(plain(f" {texts[i][0]} ") & plain(f" {texts[j][0]} "))
 
 
+def test_language_sample_of_copies(spark, monkeypatch):
+    """Copies of a text count once in the sample."""
+    made = [("the same text", "en")] * 500 + [(f"text number {i}", "en") for i in range(400)]
+    df = spark.createDataFrame(made, "text string, lang string")
+    low = df.distinct().orderBy(F.xxhash64("text")).first()["text"]
+    df = df.union(spark.createDataFrame([(low, "en")] * 500, "text string, lang string"))
+    seen = []
+    monkeypatch.setattr(language_id, "Model", lambda rows, landmarks: seen.append(rows))
+    language_id.fit(df)
+    assert len(seen[0]) == 300 and (low, "en") in seen[0]
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
