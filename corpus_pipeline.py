@@ -16,7 +16,8 @@ from hydroframe.llm.common import shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go, and those that resemble no learned language."""
+    """Documents without any letter (`und`) go; others stay, also gibberish: a best score is at least about 1 / languages,
+    so that the limit rejects none with fewer than ten."""
     model = language_id.fit(docs)
     found = language_id.identify(docs, model).where("lang_pred <> 'und' and score >= 0.1").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
