@@ -168,7 +168,7 @@ def period_normals(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {RAIN}, {DEMAND} SELECT cell, {TIME}, v AS prcp, pet FROM raw JOIN e USING (y, m)")
 def align_inner(spark: SparkSession, sf: str) -> DataFrame:
     cells = rain(spark, sf).select("cell").distinct()
-    other = demand(spark, sf).join(F.broadcast(cells.limit(1000)), how="cross")  # a few cells, one row a month
+    other = cells.join(F.broadcast(demand(spark, sf)), how="cross")  # one row a month
     return series.align(rain(spark, sf).withColumnRenamed("value", "prcp"), other, K).select("cell", "time", "prcp", "pet")
 
 

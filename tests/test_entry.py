@@ -49,5 +49,11 @@ def test_every_year(spark, duck, name, where):
     assert sorted(zip(got["cell"], got["year"], strict=True)) == sorted(want) and got.notna().all(axis=None)
 
 
+def test_align_of_many_cells(spark, tmp_path):
+    spark.sql("select id l_linenumber, timestamp '1996-01-05' l_shipdate, 2D l_quantity from range(1200)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select timestamp '1996-01-07' o_orderdate, 50000D o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert entry.queries()["align_inner"](spark, str(tmp_path)).count() == 1200
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cell", "time", "spi"]
