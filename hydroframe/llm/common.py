@@ -37,21 +37,24 @@ def arrow_map(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through files in the folder that the session's spark.checkpoint.dir names.
-
-    Where it is unset (tests on one machine), a folder under the warehouse is used.  What came before is then out of
-    reach, so the collections let Spark's cleaner delete its shuffle files now and not at some later time.
-    """
+    """Cuts the lineage through files in the shared folder."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    done = df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of what is out of reach now, not when the driver next collects garbage.
+
+    For the few places that leave much behind."""
     gc.collect()
-    context._jvm.System.gc()
-    return done
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"

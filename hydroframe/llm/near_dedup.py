@@ -1,41 +1,38 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 1. Each text gives its set of word shingles as 64-bit hashes, the set's digest, and the `k` smallest hashes: its sketch.
-   Texts with equal sets are one class; from here on its smallest doc_id stands for the class.
-2. Inverted lists: a class is listed under each two neighbouring values of its sketch.  Of the k smallest values of a union
-   at least `percent` % are expected in both sets, so two sets that are to be linked have dozens of such neighbours in
-   common; that none is has a chance under 1e-13 for k = 48.  Lists of up to `short` classes give the pairs whose sizes
-   allow a link.  The members of longer lists are listed again under four neighbouring values (chance of none: about 1e-5),
-   which only much alike sets share.  Lists which are still longer give pairs with the next member by size and with the
-   first of about the same size: a number in proportion.  Of sets that are whole in their sketches, at 80 %, only those of
-   four and five values can be linked and have no four neighbours in common; these are found by the subsets of four.
-3. A pair's overlap is the number of lists that it shares, the longer keys counting more.  Overlaps under three are dropped
-   (not for small sets), then the sketch of the union estimates the similarity, and pairs `slack` below the threshold go.
+   Texts with equal sets are one class and count once from here on.
+2. Inverted lists: the values retained in the sketches are ordered by the number of sketches that hold them, rare ones first,
+   and a class is listed under the first of its own only.  Two sketches that have `c` values in common meet in a list if each
+   is listed under all but its last c - 1.  For sets that are whole in their sketches c is exact: links need that many.
+   For larger ones c is (percent / 100 - slack) * k; that a link has fewer is a chance of about 1e-6 with the defaults.
+   Lists of up to `short` classes give their pairs, if sizes and places in the order still allow a link; the number of lists
+   that a pair shares is its overlap.  A longer list gives three pairs for each member, with classes of about its size.
+3. The sketch of the union estimates the similarity, and pairs `slack` below the threshold go.
 4. The rest are compared on their full sets: linked if 100 * intersection >= percent * union.
-5. Links become components by alternating large and small stars.  Then the long lists that hold several components are
-   closed exactly: members outside the largest component of such lists are compared with all members of about their size,
-   block by block on full sets; only links are given back, and of these as many as connect the components.
+5. Links become components by alternating large and small stars.
+6. Long lists that hold several components are closed exactly: their members' full sets are listed once more in the same way
+   (of a set of n, the rarest n - ceil(percent * n / 100) + 1 meet every set that it can be linked with), and members outside
+   a list's largest component are compared with those of other components that they meet there.  Long lists of this kind
+   are dealt out by blocks of `block` members, so that no task has to hold a list.
 
 Edge cases: null and empty texts have no set and are alone; a text with fewer words than a shingle is one shingle; very long
-texts are read whole; equal texts are one class and travel once; rows without an id are alone; rows that share an id
-share its component; an empty table gives no rows; further columns are ignored.
+texts are read whole; equal texts are one class and travel once; a row without an id is alone, kept, and has no component; rows
+that share an id are judged by their own texts; an empty table gives no rows; further columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm.common import arrow_map, checkpoint, id_text, in_slices, table
-from hydroframe.llm.hashing import mix, run_hashes, word_hashes
-
-PAIRS = "kind int, a long, b long, n int"  #: n: weight of a pair, or size
-PAIR, LONGER, MEMBER = 0, 1, 2
+from hydroframe.llm.common import arrow_map, checkpoint, id_text, in_slices, release, table
+from hydroframe.llm.hashing import run_hashes, word_hashes
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -47,8 +44,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
-    """doc_id, size, digest, sketch for each row; the digest is null where the set is empty."""
-    import hashlib
+    """doc_id, text_hash, size, digest, sketch for each row; the digest is null where the set is empty."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, 512):
@@ -57,109 +53,84 @@ def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
             cut = [s[:k] for s in sets]
             ends = np.cumsum([0] + [s.size for s in cut]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "size": pa.array([s.size for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()), "sketch": lists})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "text_hash": part.column(2), "size": pa.array([s.size for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()), "sketch": lists})
 
-    return arrow_map(rows, work, "doc_id long, size long, digest binary, sketch array<long>")
+    return arrow_map(rows.select("doc_id", "text", "text_hash"), work, "doc_id long, text_hash long, size long, digest binary, sketch array<long>")
 
 
-def listings(classes: DataFrame) -> DataFrame:
-    """key (two neighbours), longer (four neighbours), size and rep for each value of each sketch but the last."""
+class Bounds:
+    """How many retained values two sets must have in common to be linked, for sketches of `k` values."""
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, 2000):
-            made = []
-            for rep, size, sketch in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                values = np.asarray(sketch, dtype=np.int64).view(np.uint64)
-                if values.size < 4:  # such a set is linked with equal ones only, its class
-                    continue
-                padded = np.concatenate((values, np.zeros(3, dtype=np.uint64)))
-                n = values.size - 1
-                made.append((run_hashes(values, 2).view(np.int64), run_hashes(padded, 4)[:n].view(np.int64), np.full(n, size, dtype=np.int32), np.full(n, rep, dtype=np.int64)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["key", "longer", "size", "rep"])
+    def __init__(self, percent: int, k: int, slack: float):
+        self.percent, self.k = percent, k
+        self.sure = max(1, int(k * (percent / 100 - slack)))
 
-    return arrow_map(classes.select("rep", "size", "sketch"), work, "key long, longer long, size int, rep long")
+    def common(self, n: int, m: int) -> int:
+        low, high = min(n, m), max(n, m)
+        whole = -(-self.percent * (n + m) // (100 + self.percent))  # least intersection of sets of these sizes
+        return whole if high <= self.k else max(1, whole - (high - self.k)) if low <= self.k else self.sure
 
+    def listed(self, n: int) -> int:
+        """Under how many of its values a set of n must be listed: with any partner's, they have one in common."""
+        partners = range(-(-n * self.percent // 100), n * 100 // self.percent + 1)
+        return max(min(n, self.k) - self.common(n, m) + 1 for m in partners)
 
-def list_pairs(listed: DataFrame, short: int, percent: int, last: bool) -> DataFrame:
-    """Pairs of the short lists.  Long lists give (LONGER, longer, rep, size), or at the `last` level pairs and (MEMBER, key, rep)."""
-    weight = 3 if last else 1
+    def listed_column(self, n: Column) -> Column:
+        most = self.k * 100 // self.percent + 1  # beyond it all sets are treated alike
+        return F.element_at(F.array(*[F.lit(self.listed(i)) for i in range(1, most + 1)]), F.least(n, F.lit(most)).cast("int"))
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, a.size, 100_000):
-                cols = [c[at : at + 100_000] for c in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(cols[0].size, kind, dtype=np.int32)), *map(pa.array, cols)], names=["kind", "a", "b", "n"])
-
-        def pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Iterator[pa.RecordBatch]:
-            keep = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (a != b)
-            a, b = a[keep], b[keep]
-            yield from batch(PAIR, np.minimum(a, b), np.maximum(a, b), np.full(a.size, weight, dtype=np.int32))
-
-        def long_list(key: int, sizes: np.ndarray, reps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """A part of a long list; `state` holds the first of the last member's size class, and the last member."""
-            nonlocal state
-            classes = np.floor(np.log(sizes) / np.log(100 / percent)).astype(np.int64)
-            if state is None or state[0] != key:
-                state = (key, classes[0], (reps[0], sizes[0]), (reps[0], sizes[0]))
-            _, last_class, first, before = state
-            at = np.flatnonzero(np.concatenate(([classes[0] != last_class], classes[1:] != classes[:-1])))
-            place = np.searchsorted(at, np.arange(reps.size), side="right") - 1
-            head = np.where(place >= 0, reps[at[place]] if at.size else 0, first[0])
-            head_size = np.where(place >= 0, sizes[at[place]] if at.size else 0, first[1])
-            yield from pairs(head, reps, head_size, sizes)
-            yield from pairs(np.concatenate(([before[0]], reps[:-1])), reps, np.concatenate(([before[1]], sizes[:-1])), sizes)
-            yield from batch(MEMBER, np.full(reps.size, key), reps, sizes)
-            state = (key, classes[-1], (head[-1], head_size[-1]), (reps[-1], sizes[-1]))
-
-        def emit(cols: list[np.ndarray], open_end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, long_key
-            keys, longer, sizes, reps = cols
-            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-            lengths = np.diff(np.concatenate((starts, [keys.size])))
-            is_long = lengths > short
-            if long_key is not None and keys[0] == long_key:
-                is_long[0] = True
-            held, long_key = None, keys[-1] if is_long[-1] else None
-            if open_end and not is_long[-1]:
-                held = [c[starts[-1] :] for c in cols]
-                starts, lengths, is_long = starts[:-1], lengths[:-1], is_long[:-1]
-            for length in np.unique(lengths[~is_long]):
-                if length > 1:
-                    at = starts[(lengths == length) & ~is_long][:, None] + np.arange(length)
-                    i, j = np.triu_indices(length, 1)
-                    members, big = reps[at], sizes[at]
-                    yield from pairs(members[:, i].ravel(), members[:, j].ravel(), big[:, i].ravel(), big[:, j].ravel())
-            for start, length in zip(starts[is_long], lengths[is_long], strict=True):
-                part = slice(start, start + length)
-                yield from long_list(keys[start], sizes[part], reps[part]) if last else batch(LONGER, longer[part], reps[part], sizes[part])
-
-        held, long_key, state = None, None, None
-        for part in batches:
-            if part.num_rows:
-                cols = [c.to_numpy(zero_copy_only=False) for c in part.columns]
-                if held is not None:
-                    cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-                yield from emit(cols, True)
-        if held is not None:
-            yield from emit(held, False)
-
-    return arrow_map(listed.repartition("key").sortWithinPartitions("key", "size", "rep"), work, PAIRS)
-
-
-def extended(classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of four values and those with one more, exact: at most five for each set of five."""
-    fours = classes.where("size = 4").select(F.col("rep").alias("x"), F.array_sort("sketch").alias("subset"))
-    fives = classes.where("size = 5").select(F.col("rep").alias("y"), F.array_sort("sketch").alias("s"))
-    fives = fives.select("y", F.explode(F.expr("transform(sequence(0, 4), i -> filter(s, (v, j) -> j <> i))")).alias("subset"))
-    return fours.join(fives, "subset").where(F.lit(100 * 4 >= percent * 5)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    def reachable(self, n: Column, m: Column, rest_n: Column, rest_m: Column) -> Column:
+        """Whether sizes, and the numbers of values that follow the first common one, still allow a link."""
+        low, high = F.least(n, m), F.greatest(n, m)
+        whole = F.ceil(self.percent * (n + m) / (100 + self.percent))
+        least = F.when(high <= self.k, whole).when(low <= self.k, whole - (high - self.k)).otherwise(self.sure)
+        return (100 * low >= self.percent * high) & (F.least(rest_n, rest_m) + 1 >= least)
+
+
+def rare_first(sets: DataFrame, listed: Column, wanted: Column | None = None) -> DataFrame:
+    """value, node, size, rest: each set (node, size, values) under its rarest values; `rest` is how many values follow.
+
+    Values of one set only, and those that no set with `wanted` has, come first in the order and make no list.
+    """
+    posts = sets.select("node", "size", (F.lit(True) if wanted is None else wanted).alias("wanted"), F.size("values").alias("width"), F.explode("values").alias("value"))
+    counts = posts.groupBy("value").agg(F.count("*").alias("n"), F.max("wanted").alias("any")).where("n > 1 and any").select("value", "n")
+    held = posts.join(counts, "value").groupBy("node").agg(F.first("size").alias("size"), F.first("width").alias("width"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
+    held = held.withColumn("own", F.col("width") - F.size("found")).withColumn("first", F.slice("found", F.lit(1), F.greatest(listed - F.col("own"), F.lit(0))))
+    return held.select("node", "size", "width", "own", F.posexplode("first").alias("at", "x")).select(F.col("x.value").alias("value"), "node", "size", (F.col("width") - 1 - F.col("own") - F.col("at")).alias("rest"))
+
+
+def sized_lists(lists: DataFrame) -> DataFrame:
+    """The rows of lists with two members at least, with their length n."""
+    return lists.join(lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], bounds: Bounds) -> DataFrame:
+    """Pairs a < b of members of the same list that may be linked."""
+    x, y = (df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in on]) for df, s in ((left, "l"), (right, "r")))
+    return x.join(y, on).where(bounds.reachable(F.col("size_l"), F.col("size_r"), F.col("rest_l"), F.col("rest_r")))
+
+
+def stars(long_lists: DataFrame, percent: int, ways: int = 4) -> DataFrame:
+    """Pairs of each member with two classes of about its size and with one of the next size.
+
+    Lists of the same classes choose differently, in `ways` ways, so that few members are left without a link.
+    """
+    size_class = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")
+    rows = long_lists.withColumn("c", size_class)
+    node = F.struct("node", "size")
+    order = F.xxhash64(F.col("node"), F.pmod("value", F.lit(ways)))
+    heads = rows.groupBy("value", "c").agg(F.min_by(node, order).alias("one"), F.max_by(node, order).alias("two"))
+    own = heads.select("value", "c", F.explode(F.array("one", "two")).alias("h"))
+    heads = own.union(heads.select("value", F.col("c") - 1, "one")).select("value", "c", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"))
+    near = 100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")
+    return rows.join(heads, ["value", "c"]).where((F.col("node") != F.col("head")) & near).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """The pairs (a, b) that the sketch of their union does not exclude."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    few = checkpoint(classes.join(used, "rep", "left_semi"))
-    side = lambda x: few.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = checkpoint(classes.select("node", "size", "sketch").join(used, "node", "left_semi"))
+    side = lambda x: few.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
     both = both.withColumn("low", F.when(F.greatest("size_a", "size_b") > k, F.slice(union, 1, k)).otherwise(union))
@@ -167,26 +138,36 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int, slack: fl
     return both.select("a", "b", (common / F.size("low")).alias("estimate")).where(F.col("estimate") >= percent / 100 - slack).select("a", "b")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
-    texts = lambda x: rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(texts("b"), "b").join(texts("a"), "a").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int = 1000) -> DataFrame:
+    """The pairs whose full sets are alike enough.
+
+    Of a pair, the class with more pairs is the hub.  A hub's text travels once for each `chunk` of its pairs, and the other
+    texts once for each pair.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    side = lambda x: degrees.select(F.col("node").alias(x), F.struct("n", "node").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.greatest("n_a", "n_b").alias("hub"), F.least("n_a", "n_b").alias("leaf"))
+    both = checkpoint(both.select(F.col("hub.node").alias("hub"), F.col("leaf.node").alias("leaf"), F.expr(f"pmod(xxhash64(leaf.node), ceil(hub.n / {chunk}))").cast("int").alias("part")))
+    hubs = both.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("node")).select("hub", "part", F.lit(None).cast("long").alias("leaf"), "text")
+    leaves = both.join(texts, F.col("leaf") == F.col("node")).select("hub", "part", "leaf", "text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        first = np.zeros(0, dtype=np.int64)
         for part in in_slices(batches, 512):
             a, b = [], []
-            for x, y, text_x, text_y in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if x != last:
-                    last, first = x, shingles(text_x, words)
-                second = shingles(text_y, words)
-                common = np.intersect1d(first, second, assume_unique=True).size
-                if 100 * common >= percent * (first.size + second.size - common):
-                    a.append(x)
-                    b.append(y)
+            for hub, leaf, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                found = shingles(text, words)
+                if leaf is None:
+                    first = found
+                    continue
+                common = np.intersect1d(first, found, assume_unique=True).size
+                if 100 * common >= percent * (first.size + found.size - common):
+                    a.append(min(hub, leaf))
+                    b.append(max(hub, leaf))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return arrow_map(both, work, "a long, b long")
+    order = [F.col("hub"), F.col("part"), F.col("leaf").asc_nulls_first()]
+    return arrow_map(hubs.union(leaves).repartition("hub", "part").sortWithinPartitions(*order), work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,101 +190,71 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def block_links(parts: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between different components in one pair of blocks, as many as it takes to connect them: exact counts of
-    common shingles by an inverted index over the block's sets."""
-    nodes, labels, apart = parts["node"].to_numpy(), parts["component"].to_numpy(), parts["apart"].to_numpy(bool)
-    sets = [np.frombuffer(x, dtype=np.int64) for x in parts["tokens"]]
-    sizes = np.array([x.size for x in sets])
-    owner = np.repeat(np.arange(nodes.size), sizes)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    lists = owner[np.argsort(token, kind="stable")]
-    ends = np.cumsum(np.bincount(token))
-    begins = np.concatenate(([0], ends[:-1]))
-    cut = np.concatenate(([0], np.cumsum(sizes)))
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top.get(x, x) != x:
-            x = top[x]
-        return x
-
-    out = []
-    for x in np.flatnonzero(apart):
-        mine = token[cut[x] : cut[x + 1]]
-        n = ends[mine] - begins[mine]
-        at = np.repeat(begins[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        common = np.bincount(lists[at], minlength=nodes.size)
-        for y in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common)):
-            one, two = root(labels[x]), root(labels[y])
-            if one != two:
-                top[max(one, two)] = min(one, two)
-                out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-    return out
-
-
-def across(placed: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 500) -> DataFrame:
-    """Links (a, b) between different components of long lists (key, node, component), enough to connect all that are linked.
-
-    Lists that have nodes in common are one family.  Its nodes outside its largest component are compared with all of its
-    nodes of the same size class and the two next to it, in pairs of blocks of about `block` nodes, on full sets.
-    """
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head")).where("low < high").select("key", "head")
-    held = checkpoint(placed.join(mixed, "key"))
-    family = components(held.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
-    nodes = held.select("node", "component").distinct().join(family, "node")
+def strays(members: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component, stray for the members (value, node) of lists with several components; the members of a list's
+    largest component are no strays of it."""
+    placed = members.join(found, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("value", "component").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+    held = placed.join(parts.where("parts > 1").select("value", "largest"), "value")
+    return held.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("stray"))
+
+
+def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 1000) -> DataFrame:
+    """Pairs (a, b) of strays with members of other components that may be linked; none that is linked is left out."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, 512):
+        for part in in_slices(batches, 256):
             sets = [shingles(t, words) for t in part.column(3).to_pylist()]
-            sizes = np.array([x.size for x in sets])
-            classes = np.floor(np.log(sizes) / np.log(100 / percent) + 1e-9).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "component", "family", "c", "tokens"])
-
-    rows = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "component", "family", "text")
-    rows = arrow_map(rows, work, "node long, component long, family long, c int, tokens binary")
-    counts = nodes.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    rows = checkpoint(rows.join(counts, "family").withColumn("apart", F.col("component") != F.col("largest")).drop("largest"))
-    blocks = lambda df, c, n: df.groupBy("family", F.col("c").alias(c)).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
-    some = blocks(rows.where("apart"), "c", "n").withColumn("d", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    pairs = some.join(blocks(rows, "d", "m"), ["family", "d"])
-    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, m - 1)")))
-    where = ["family", "c", "i", "d", "j"]
-    left = rows.where("apart").join(pairs, ["family", "c"]).where("pmod(hash(node), n) = i")
-    right = rows.withColumnRenamed("c", "d").withColumn("apart", F.lit(False)).join(pairs, ["family", "d"]).where("pmod(hash(node), m) = j")
-    both = left.select(*where, "node", "component", "apart", "tokens").union(right.select(*where, "node", "component", "apart", "tokens"))
-    link = lambda parts: pd.DataFrame(block_links(parts, percent), columns=["a", "b"])
-    return both.groupBy(*where).applyInPandas(link, "a long, b long")
+            ends = np.cumsum([0] + [s.size for s in sets]).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.size for s in sets], pa.int64()), lists], names=["node", "component", "stray", "size", "values"])
+
+    sets = arrow_map(nodes.join(texts, "node").select("node", "component", "stray", "text"), work, "node long, component long, stray boolean, size long, values array<long>")
+    sets = checkpoint(sets)
+    listed = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    lists = sized_lists(rare_first(sets, listed, F.col("stray"))).join(sets.select("node", "component", "stray"), "node")
+    lists = checkpoint(lists.withColumn("side", F.expr(f"pmod(xxhash64(node), ceil(n / {block}))").cast("int")))
+    sides = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
+    left = lists.where("stray").withColumn("other", sides).drop("n", "stray")
+    right = lists.withColumn("other", F.col("side")).drop("n", "side", "stray")
+    pairs = met(left, right, ["value", "other"], Bounds(percent, 1 << 40, 0.0)).where("component_l <> component_r")
+    return pairs.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 48, short: int = 64, slack: float = 0.3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    rows = id_text(docs, id_col, text_col)
+    bounds = Bounds(percent, k, slack)
+    rows = id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     marked = checkpoint(sketches(rows, words, k))
-    alone = marked.where("digest is not null and doc_id is not null").select("digest", F.struct("doc_id", "size", "sketch").alias("x"))
-    classes = checkpoint(alone.groupBy("digest").agg(F.min("x.doc_id").alias("rep"), F.first("x.size").alias("size"), F.first("x.sketch").alias("sketch")))
+    known = marked.where("digest is not null and doc_id is not null")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    classes = checkpoint(classes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("rep"), F.col("x.text_hash").alias("text_hash"), "size", "sketch"))
     marked = marked.select("doc_id", "size", "digest")
-    level1 = checkpoint(list_pairs(listings(classes), short, percent, False))
-    longer = level1.where(F.col("kind") == LONGER).select(F.col("a").alias("key"), F.lit(0).cast("long").alias("longer"), F.col("n").alias("size"), F.col("b").alias("rep"))
-    level2 = checkpoint(list_pairs(longer, short, percent, True))
-    members = level2.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
-    small = classes.where("size < 16").select(F.col("rep").alias("a"), F.lit(True).alias("small"))
-    overlaps = level1.union(level2).where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("overlap")).join(small, "a", "left")
-    pairs = checkpoint(overlaps.where("overlap >= 3 or small").select("a", "b"))
-    pairs = checkpoint(likely(pairs, classes, k, percent, slack))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("node")).distinct()
-    texts = checkpoint(rows.join(used, "doc_id", "left_semi"))
-    links = checkpoint(verified(pairs, texts, words, percent).union(extended(classes, percent)))
+    # Smaller sets are linked with equal ones only, and those are their class.
+    sets = classes.where(100 * F.col("size") >= percent * (F.col("size") + 1)).select("node", "size", F.col("sketch").alias("values"))
+    lists = checkpoint(sized_lists(rare_first(sets, bounds.listed_column(F.col("size")))))
+    release(rows.sparkSession)
+    few = lists.where(F.col("n") <= short).drop("n")
+    found = met(few, few, ["value"], bounds).where("node_l < node_r").select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
+    long_lists = lists.where(F.col("n") > short)
+    overlaps = found.union(stars(long_lists, percent)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    pairs = checkpoint(likely(checkpoint(overlaps.select("a", "b")), classes, k, percent, slack))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long_lists.select("node")).distinct()
+    used = classes.select("node", F.col("rep").alias("doc_id"), "text_hash").join(used, "node")
+    texts = checkpoint(rows.where("doc_id is not null").join(used, ["doc_id", "text_hash"]).select("node", "text"))
+    release(rows.sparkSession)
+    links = checkpoint(verified(pairs, texts, words, percent))
     found = components(links)
-    if not members.isEmpty():
-        placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        placed = checkpoint(placed)
-        fresh = checkpoint(across(placed, texts, words, percent))
+    nodes = checkpoint(strays(long_lists.select("value", "node"), found))
+    if not nodes.isEmpty():
+        fresh = checkpoint(verified(checkpoint(across(nodes, texts, words, percent)), texts, words, percent))
         if not fresh.isEmpty():
             found = components(links.union(fresh))
-    labels = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = found.join(classes.select("node", "rep"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low")
+    labels = classes.join(named, "node", "left").select("digest", F.coalesce("low", "rep").alias("component"))
     done = marked.join(labels, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return done.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -249,13 +249,31 @@ def test_near_groups_of_many(spark):
     assert rows(near_dedup.near_groups(df, words=2, short=5), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(made, 2)
 
 
-def test_near_groups_of_short_texts(spark):
-    """Over 80 extensions of one text by a word: sets of five values around one of four, all in long lists."""
-    text = "one two three four five"
-    made = [(0, text, None)] + [(1 + i, f"w{i} {text}" if i % 2 else f"{text} w{i}", None) for i in range(160)]
-    df = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+def test_near_groups_of_small_sets(spark):
+    """Groups of texts of few shingles around a common one, each with words of its own on either side, all in long lists."""
+    made, kinds = [], [(size, *x) for size in range(4, 16) for x in ((1, 200), (2, 70), (3, 70))]
+    for g, (size, own, many) in enumerate(kinds):
+        base = [f"g{g}_{k}" for k in range(size + 1)]
+        group = [base] + [base + more if i % 2 else more + base for i in range(many) for more in [[f"g{g}w{i}_{k}" for k in range(own)]]]
+        group += [base[:k] + base[k + 1 :] for k in range(size + 1)]
+        made.append([(1000 * g + i, " ".join(x), None) for i, x in enumerate(group)])
+    df = spark.createDataFrame([(i, t) for group in made for i, t, _ in group], "doc_id long, text string")
     got = rows(near_dedup.near_groups(df, words=2), "doc_id", "n_shingles", "component_id", "kept")
-    assert got == plain_groups(made, 2) and {x[2] for x in got} == {0}
+    assert got == [x for group in made for x in plain_groups(group, 2)]
+
+
+def test_near_groups_of_strangers(spark):
+    """Many texts that share most of their words without being alike enough, some pairs of which are: by long lists alone."""
+    rng = np.random.default_rng(8)
+    shared = [f"b{k}" for k in range(100)]
+    made = []
+    for i in range(150):
+        own = [f"s{i // 2}_{k}" for k in range(30)] + [f"o{i}_{k}" for k in range(int(rng.integers(1, 40)))]
+        made.append((i, " ".join(shared + own), None))
+    df = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    want = plain_groups(made, 2)
+    assert rows(near_dedup.near_groups(df, words=2, short=10), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert 75 < sum(kept for *_, kept in want) < 150
 
 
 # 8 -----------------------------------------------------------------------------------------------------------------
