@@ -8,12 +8,13 @@ windows with the same minimiser are one super-k-mer.
 2. The rest travel as one packed string each to the bucket of their minimiser.  There they come sorted by document and
    start, and each of their windows is compared as text with those before it: the first stays, later ones are listed.
    A minimiser of more than `hot` super-k-mers sends windows one by one to buckets by their own hash, so that no bucket
-   has to know more than `hot` super-k-mers; equal windows of one task are settled before they travel.
+   has to know more than `hot` super-k-mers; equal windows of one task are settled before they travel.  The most frequent
+   minimisers of some `sample` documents are taken so from the start, and their super-k-mers are dealt out by document.
 3. The listed runs return to their documents, and the words that they cover are removed.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing; windows are judged on the input; equal texts
-lose all from the second on; rows without an id lose nothing, rows that share one share their cuts; an empty table gives
-no rows; further columns are ignored.
+lose all from the second on; rows without an id lose nothing; of rows that share one, equal starts are no earlier than each
+other, so equal rows don't cut each other; an empty table gives no rows; further columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hydroframe.llm.common import arrow_map, id_text, in_slices, table
+from hydroframe.llm.common import arrow_map, in_slices, table
 from hydroframe.llm.hashing import mix, run_hashes, sliding_min, word_hashes
 
-PLACES = "key long, doc_id long, start int, count int, again boolean"
+#: `tag` tells rows that share an id apart: half of their text's hash.  `salt` is 0 but for rows under a common minimiser.
+PLACES = "key long, salt int, doc_id long, tag int, start int, count int, again boolean"
+NAMES = ["key", "salt", "doc_id", "tag", "start", "count", "again"]
 
 
 def super_kmers(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -42,19 +46,36 @@ def super_kmers(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return low[starts].view(np.int64), starts, np.diff(np.concatenate((starts, [low.size]))), periodic
 
 
-def places(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def places(docs: DataFrame, window: int, gram: int, common: np.ndarray | None = None) -> DataFrame:
+    """The super-k-mers of each row; those under the `common` minimisers (sorted) are marked by `again` and a salt."""
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, 512):
             made = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for doc, tag, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = word_hashes((text or "").encode())
                 if words.size >= window:
                     keys, starts, counts, periodic = super_kmers(words, window, gram)
-                    made.append((keys, np.full(keys.size, doc), starts.astype(np.int32), counts.astype(np.int32), np.full(keys.size, periodic)))
+                    again, salt = np.full(keys.size, periodic), np.zeros(keys.size, dtype=np.int32)
+                    if common is not None and common.size:
+                        hot = common[np.minimum(np.searchsorted(common, keys), common.size - 1)] == keys
+                        again |= hot
+                        salt[hot] = 1 + (doc & 0xFFFF)
+                    made.append((keys, salt, np.full(keys.size, doc), np.full(keys.size, tag, dtype=np.int32), starts.astype(np.int32), counts.astype(np.int32), again))
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["key", "doc_id", "start", "count", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=NAMES)
+
+    return arrow_map(docs.select("doc_id", "tag", "text"), work, PLACES)
+
+
+def common_minimisers(docs: DataFrame, window: int, gram: int, rows: int, at_least: int, most: int = 10_000) -> np.ndarray:
+    """Minimisers that come `at_least` times among about `rows` rows, the `most` frequent of them.
 
-    return arrow_map(docs, work, PLACES)
+    Which they are changes how rows travel and no result: a minimiser's rows all take the one way or the other.
+    """
+    some = docs.sample(min(1.0, rows / max(1, docs.count())), seed=1)
+    found = places(some, window, gram).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("n"), "key").limit(most).collect()], dtype=np.int64))
 
 
 def shared(found: DataFrame, hot: int) -> DataFrame:
@@ -62,7 +83,6 @@ def shared(found: DataFrame, hot: int) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot_key = None, None
-        names = ["key", "doc_id", "start", "count", "again"]
 
         def emit(cols: list[np.ndarray], open_end: bool):
             """Rows to send, and those of the last key if more of them may come."""
@@ -70,18 +90,18 @@ def shared(found: DataFrame, hot: int) -> DataFrame:
             keys = cols[0]
             starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
             sizes = np.diff(np.concatenate((starts, [keys.size])))
-            is_hot = (sizes > hot) | ((keys[starts] == hot_key) if hot_key is not None else False)
+            is_hot = (sizes > hot) | (cols[1][starts] > 0) | ((keys[starts] == hot_key) if hot_key is not None else False)
             rest = None
             if open_end:
                 if is_hot[-1]:
                     hot_key = keys[-1]
                 else:
                     rest = [c[starts[-1] :] for c in cols]
-            keep = np.repeat(sizes > 1, sizes) | np.repeat(is_hot, sizes) | cols[4]
+            keep = np.repeat(sizes > 1, sizes) | np.repeat(is_hot, sizes) | cols[6]
             if rest is not None:
                 keep[starts[-1] :] = False
-            sent = [c[keep] for c in cols[:4]] + [np.repeat(is_hot, sizes)[keep]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in sent], names=names), rest
+            sent = [c[keep] for c in cols[:6]] + [np.repeat(is_hot, sizes)[keep]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in sent], names=NAMES), rest
 
         for part in batches:
             if part.num_rows:
@@ -94,41 +114,43 @@ def shared(found: DataFrame, hot: int) -> DataFrame:
         if held is not None:
             yield emit(held, False)[0]
 
-    return arrow_map(found.repartition("key").sortWithinPartitions("key"), work, PLACES)
+    return arrow_map(found.repartition("key", "salt").sortWithinPartitions("key"), work, PLACES)
 
 
 def packed(docs: DataFrame, window: int, settle: int = 100_000) -> DataFrame:
-    """Packed strings by bucket, from texts with the list of their shared super-k-mers; `sure` rows are settled repeats."""
+    """Packed strings by bucket, from texts with the list of their shared super-k-mers; rows without words are settled repeats."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple[int, int]] = {}
-        names = ["key", "doc_id", "start", "count", "words"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        first: dict[bytes, tuple[int, int, int]] = {}
+        names = ["key", "doc_id", "tag", "start", "count", "words"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        def of_window(text: bytes, at: tuple[int, int]) -> tuple:
-            return int(mix(run_hashes(word_hashes(text), window)).view(np.int64)[0]), *at, 1, text
+        def of_window(text: bytes, at: tuple[int, int, int]) -> tuple:
+            doc, start, tag = at
+            return int(mix(run_hashes(word_hashes(text), window)).view(np.int64)[0]), doc, tag, start, 1, text
 
         for part in in_slices(batches, 128):
             rows = []
-            for doc, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for doc, tag, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tag", "text", "found")), strict=True):
                 words = (text or "").encode().split()
                 for f in found:
                     start, count = f["start"], f["count"]
                     if not f["again"]:
-                        rows.append((f["key"], doc, start, count, b" ".join(words[start : start + count + window - 1])))
+                        rows.append((f["key"], doc, tag, start, count, b" ".join(words[start : start + count + window - 1])))
                         continue
                     for s in range(start, start + count):
-                        one, here = b" ".join(words[s : s + window]), (doc, s)
-                        before = first.get(one)
-                        if before is None:
+                        one, here = b" ".join(words[s : s + window]), (doc, s, tag)
+                        before = first.setdefault(one, here)
+                        if before[:2] < here[:2]:
+                            rows.append((hash(here), doc, tag, s, 1, None))
+                        elif here[:2] < before[:2]:
                             first[one] = here
-                        else:
-                            first[one] = min(before, here)
-                            if before != here:
-                                rows.append((0, *max(before, here), 1, None))
+                            rows.append((hash(before), before[0], before[2], before[1], 1, None))
+                        elif here != before:  # rows that share an id: neither comes before the other
+                            rows.append(of_window(one, here))
             if len(first) > settle:
                 rows += [of_window(one, at) for one, at in first.items()]
                 first.clear()
@@ -138,46 +160,49 @@ def packed(docs: DataFrame, window: int, settle: int = 100_000) -> DataFrame:
         for at in range(0, len(rows), 20_000):
             yield batch(rows[at : at + 20_000])
 
-    return arrow_map(docs, work, "key long, doc_id long, start int, count int, words binary")
+    return arrow_map(docs, work, "key long, doc_id long, tag int, start int, count int, words binary")
 
 
 def repeats(strings: DataFrame, window: int) -> DataFrame:
-    """doc_id, start, count of runs of windows that came before, from packed strings sorted by bucket, document and start."""
+    """doc_id, tag, start, count of runs of windows that came before, from packed strings sorted by bucket, document and start."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, set()
+        last, seen = None, {}
         for part in batches:
             rows = []
-            for key, doc, start, count, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for key, doc, tag, start, count, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if text is None:  # settled before
-                    rows.append((doc, start, count))
+                    rows.append((doc, tag, start, count))
                     continue
                 if key != last:
-                    last, seen = key, set()
+                    last, seen = key, {}
                 ends = list(accumulate(map(len, text.split(b" ")), lambda a, n: a + n + 1, initial=-1))
                 run = 0
                 for k in range(count):
-                    one = text[ends[k] + 1 : ends[k + window]]
-                    if one in seen:
+                    here = (doc, start + k)
+                    if seen.setdefault(text[ends[k] + 1 : ends[k + window]], here) < here:
                         run += 1
-                        continue
-                    seen.add(one)
-                    if run:
-                        rows.append((doc, start + k - run, run))
+                    elif run:
+                        rows.append((doc, tag, start + k - run, run))
                         run = 0
                 if run:
-                    rows.append((doc, start + count - run, run))
+                    rows.append((doc, tag, start + count - run, run))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "tag", "start", "count"])
 
-    return arrow_map(strings.repartition("key").sortWithinPartitions("key", "doc_id", "start"), work, "doc_id long, start int, count int")
+    return arrow_map(strings.repartition("key").sortWithinPartitions("key", "doc_id", "start"), work, "doc_id long, tag int, start int, count int")
 
 
 def cut(docs: DataFrame, window: int) -> DataFrame:
+    """From rows of a text, the runs found in it and any `carried` column: n_words, n_removed, kept."""
+    columns = [f for f in docs.schema if f.name not in ("found", "text" if "carried" not in docs.columns else "")]
+    schema = StructType([*columns, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, 256):
             sizes, removed, kept = [], [], []
-            for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for text, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 sizes.append(len(words))
                 if found:
@@ -187,23 +212,30 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
                     words = [w for w, g in zip(words, gone, strict=True) if not g]
                 removed.append(sizes[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in columns), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+
+    return docs.mapInArrow(work, schema)
 
-    return arrow_map(docs, work, "doc_id long, n_words long, n_removed long, kept string")
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, hot: int = 20_000, sample: int = 10_000, at_least: int = 16, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces) for each row.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, hot: int = 20_000) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces) for each row."""
-    rows = id_text(docs, id_col, text_col)
-    # Both joins read the same columns by the same key, so the texts are shuffled once (ReusedExchange).  Aliases with
+    With `carry`, also the text and a struct `carried` of these columns: they travel with the text, which spares a join.
+    """
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
+    rows = rows.withColumn("tag", F.shiftright(F.xxhash64("text"), 32).cast("int"))
+    used = ["doc_id", "tag", "text"] + ["carried"] * bool(more)
+    # Both joins read the same columns by the same keys, so the texts are shuffled once (ReusedExchange).  Aliases with
     # metadata are never optimised away on one side only, which would hide from Spark that the two are the same.
-    known = rows.where("doc_id is not null").select(*[F.col(c).alias(c, metadata={"role": c}) for c in ("doc_id", "text")])
-    found = shared(places(known, window, gram), hot)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "count", "again")).alias("found"))
-    strings = packed(known.join(lists, "doc_id").select("doc_id", "text", "found"), window)
-    cuts = repeats(strings, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+    known = rows.where("doc_id is not null").select(*[F.col(c).alias(c, metadata={"role": c}) for c in used])
+    found = shared(places(known, window, gram, common_minimisers(known, window, gram, sample, at_least)), hot)
+    lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "start", "count", "again")).alias("found"))
+    strings = packed(known.join(lists, ["doc_id", "tag"]), window)
+    cuts = repeats(strings, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("found"))
     nothing = F.lit(None).cast("array<struct<start:int,count:int>>").alias("found")
-    return cut(known.join(cuts, "doc_id", "left").select("doc_id", "text", "found").union(rows.where("doc_id is null").select("doc_id", "text", nothing)), window)
+    known, rest = known.join(cuts, ["doc_id", "tag"], "left").select(*used, "found"), rows.where("doc_id is null").select(*used, nothing)
+    return cut(known.union(rest).drop("tag"), window)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
