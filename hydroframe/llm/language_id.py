@@ -6,34 +6,40 @@ landmarks L from the training rows, Nystroem features are K(x, L) K(L, L)^-1/2,
 language against the rest is fitted on them.  As the kernel is an inner product of presence vectors, landmarks and weights fold
 into one matrix (n-grams of the landmarks x languages); a batch of texts is scored by one matrix product.
 
-Training rows are a bounded sample: of each language the `per_language` rows with the smallest text hashes among those of
+Training rows are a bounded sample: of each language the `per_language` different texts with the smallest hashes among those of
 at most `max_train_bytes`, fewer if there are many languages (`max_train_rows` in all).  Scoring takes every row's whole text.
+Letters are told apart if they are among the most frequent ones of any language, each language giving as many as the next.
 
-Edge cases: a null text and one without a letter are `und` with score 0; a text is scored whole whatever its length; equal
-texts get equal results; without any training row every row is `und`; an empty table gives no rows; further columns are ignored.
+Edge cases: a null text and one without a letter (Unicode category L) are `und` with score 0; a text is scored whole whatever
+its length; equal texts get equal results; without any training row every row is `und`; an empty table gives no rows; rows
+without an id are scored like others, ids may be of any type; further columns are ignored, or kept by `with_language`.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hydroframe.llm.common import arrow_map, id_text, in_slices, table
+from hydroframe.llm.common import in_slices, table
 
-LETTER = re.compile(r"[^\W\d_]")
-SIZE = 64  #: classes of characters: separator, rare letter, and the most frequent letters
+SIZE = 128  #: classes of characters: separator, rare letter, and the most frequent letters
 GRAMS = SIZE + SIZE**2 + SIZE**3
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class Grams:
-    """The n-grams of a text as sorted numbers below GRAMS."""
+    """The n-grams of a text as numbers below GRAMS."""
 
     def __init__(self, letters: list[str]):
         self.letters = letters
@@ -41,9 +47,9 @@ class Grams:
         self.low = np.zeros(0x3000, dtype=np.int32)
         for c in range(0x3000):
             self.low[c] = self.place.get(c, 1 if chr(c).isalpha() else 0)
-        self.seen = np.zeros(GRAMS, dtype=bool)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def all(self, text: str) -> np.ndarray:
+        """Those of each place, in no order and with repeats."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         if points.size and points.max() >= 0x3000:
             high = points >= 0x3000
@@ -55,22 +61,27 @@ class Grams:
         keep = np.ones(x.size, dtype=bool)
         keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
         x = x[keep]
-        seen = self.seen
         two = x[:-1] * SIZE + x[1:]
-        parts = (x, SIZE + two, SIZE + SIZE**2 + two[:-1] * SIZE + x[2:])
-        for p in parts:
-            seen[p] = True
-        found = np.flatnonzero(seen)
-        seen[found] = False
-        return found
+        return np.concatenate((x, SIZE + two, SIZE + SIZE**2 + two[:-1] * SIZE + x[2:]))
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.unique(self.all(text))
+
+
+def frequent_letters(rows: list[tuple[str, str]]) -> list[str]:
+    """The most frequent letters of each language in turn, SIZE - 2 in all."""
+    counts: dict[str, Counter] = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(c for c in text.lower() if c.isalpha())
+    ranks = [[c for c, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))] for lang in sorted(counts)]
+    return list(dict.fromkeys(c for rank in zip_longest(*ranks) for c in rank if c))[: SIZE - 2]
 
 
 class Model:
     """Languages, letters, the landmarks' n-grams, and the matrix of their weights."""
 
     def __init__(self, rows: list[tuple[str, str]], landmarks: int = 32, ridge: float = 1e-2):
-        counts = Counter(c for text, _ in rows for c in text.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SIZE - 2]]
+        self.letters = frequent_letters(rows)
         self.languages = sorted({lang for _, lang in rows})
         grams = Grams(self.letters)
         sets = [grams(text) for text, _ in rows]
@@ -109,8 +120,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     rows = rows.where(r"lang is not null and octet_length(text) <= {} and text rlike '\\p{{L}}'".format(max_train_bytes))
     first = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # Hashes first, so that copies count once and only texts of the sample travel.
-    low = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
+    # Hashes first, so that copies count once and only texts of the sample travel; in two steps, as a language may hold most rows.
+    low = rows.select("lang", "h").distinct()
+    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        low = low.withColumn("n", F.row_number().over(W.partitionBy(*part).orderBy("h"))).where(F.col("n") <= per_language)
     low = low.orderBy("n", "lang").limit(max_train_rows).select("lang", "h")
     rows = rows.join(F.broadcast(low), ["lang", "h"]).select("lang", "text").distinct()
     some = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_train_rows).collect()
@@ -120,28 +133,39 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return Model(seen, landmarks) if seen else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row; the score is that of the language predicted, from 0 to 1."""
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """All columns of each row, and the language predicted with its score, from 0 to 1."""
     parts = None if model is None else (model.letters, model.languages, model.used, model.weights, model.offset)
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts is not None:
             letters, languages, used, weights, offset = parts
-            grams, slot = Grams(letters), np.full(GRAMS, -1, dtype=np.int32)
-            slot[used] = np.arange(used.size)
+            grams, seen = Grams(letters), np.zeros(GRAMS, dtype=bool)
         for part in in_slices(batches, 128):
-            texts = part.column(1).to_pylist()
+            texts = part.column(at).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            open_rows = [i for i, t in enumerate(texts) if parts is not None and t and LETTER.search(t)]
+            open_rows = [i for i, t in enumerate(texts) if parts is not None and t and has_letter(t)]
             if open_rows:
-                sets = [grams(texts[i]) for i in open_rows]
-                norm = np.sqrt([[s.size] for s in sets]).astype(np.float32)
-                got = presence(sets, slot, used.size) @ weights / norm + offset
+                held, norm = np.empty((len(open_rows), used.size), dtype=np.float32), np.empty((len(open_rows), 1), dtype=np.float32)
+                for row, size, i in zip(held, norm, open_rows, strict=True):
+                    found = grams.all(texts[i])
+                    seen[found] = True
+                    row[:], size[:] = seen[used], np.sqrt(np.count_nonzero(seen))
+                    seen[found] = False
+                got = held @ weights / norm + offset
                 for i, best, row in zip(open_rows, got.argmax(axis=1), got, strict=True):
                     names[i], scores[i] = languages[best], float(min(1.0, max(0.0, (row[best] + 1) / 2)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
+
+    return docs.mapInArrow(work, schema)
 
-    return arrow_map(id_text(docs, id_col, text_col), work, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score for each row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return with_language(rows, model).drop("text")
 
 
 def fold():
