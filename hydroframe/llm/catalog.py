@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_language_id": language_id.op5_language_id,
+    "op4_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_minhash": near_dedup.op7_minhash,
     "op8_warc": warc.op8_warc,
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_minhash": near_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
