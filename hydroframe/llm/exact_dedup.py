@@ -9,8 +9,9 @@ Groups are then formed and joined on recipes, a few bytes for each chunk, so lon
 counted before the shuffle, and the join that brings the result back to a large group's rows can be split by AQE.
 
 Edge cases: a null text counts as empty, and all empty texts are one group; a text without any sentence end is cut by
-length; of equal rows one stays; rows with the same id and equal texts are alike in the result, and both are marked kept
-if theirs is the largest id; an empty table gives no rows; further columns are ignored.
+length; rows with the same id and equal texts are alike in the result, and all are marked kept if theirs is the largest id;
+rows without an id count in their group and go if any of it has one, else keep_id is null and all are marked kept; an
+empty table gives no rows; further columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_text(docs, id_col, text_col).withColumn("text", lower_ascii(F.coalesce("text", F.lit(""))))
     made = recipes(rows, chunk, bits).select("doc_id", "recipe", F.sha2("text", 256).alias("text_sha256"))
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return made.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

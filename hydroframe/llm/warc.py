@@ -8,8 +8,9 @@ stream: it inflates member by member from blocks of 64 KB, frames the record by
 framing and the digest; it holds one record at a time.
 
 Edge cases: a null payload is an empty one; a null url leaves the target out; empty and very long payloads are written
-alike; rows with equal ids and equal payloads are all responses if theirs is the smallest id; an empty table gives no
-archives and no rows; further columns are ignored.
+alike; rows with equal ids and equal payloads are all responses if theirs is the smallest id; a row without an id becomes a
+response whose record id names none and reads back as null, and no record refers to it; an empty table gives no archives and
+no rows; further columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -71,15 +72,24 @@ class Folder:
             self.store.move(f"{self.folder}/{old}", f"{self.folder}/{new}")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def urn(page_id: int | None) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+
+
+def id_of(name: str) -> int | None:
+    page_id = name[len("<urn:x-page:") : -1]
+    return None if page_id == "none" else int(page_id)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """The bytes of one record, not compressed."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn(refers_to)}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -118,9 +128,9 @@ def parse(data: bytes) -> tuple:
         raise BadRecord(f"the block of {warc.get('warc-record-id')} isn't {length} bytes long")
     http_head, _, payload = body[:length].partition(b"\r\n\r\n")
     http, digest = fields(http_head), warc["warc-payload-digest"].removeprefix("sha256:")
-    page_id, size = int(warc["warc-record-id"][len("<urn:x-page:") : -1]), int(http["content-length"])
+    page_id, size = id_of(warc["warc-record-id"]), int(http["content-length"])
     if warc["warc-type"] == "revisit":
-        return page_id, "revisit", warc.get("warc-target-uri"), size, digest, int(warc["warc-refers-to"][len("<urn:x-page:") : -1]), None
+        return page_id, "revisit", warc.get("warc-target-uri"), size, digest, id_of(warc["warc-refers-to"]), None
     if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
         raise BadRecord(f"the payload of {page_id} doesn't fit its length or digest")
     return page_id, "response", warc.get("warc-target-uri"), size, digest, None, payload
@@ -131,8 +141,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     marked = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
-    firsts = marked.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = marked.where(F.col("size") >= min_revisit).join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    marked = marked.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull())
+    firsts = marked.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = marked.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     ready = rows.withColumn("digest", F.sha2("payload", 256)).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
     Folder(folder).create()
 
