@@ -55,6 +55,6 @@ def release(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    if named is None and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"

@@ -13,12 +13,13 @@
 5. Links become components by alternating large and small stars.
 6. Long lists that hold several components are closed exactly: their members' full sets are listed once more in the same way
    (of a set of n, the rarest n - ceil(percent * n / 100) + 1 meet every set that it can be linked with), and members outside
-   a list's largest component are compared with those of other components that they meet there.  Long lists of this kind
-   are dealt out by blocks of `block` members, so that no task has to hold a list.
+   a list's largest component are compared with those of other components that they meet there, first by bitmaps of 4096
+   bits that bound their intersection, then by their sets.  Lists are dealt out by blocks of `block` members, so that no
+   task has to hold a list.
 
 Edge cases: null and empty texts have no set and are alone; a text with fewer words than a shingle is one shingle; very long
 texts are read whole; equal texts are one class and travel once; a row without an id is alone, kept, and has no component; rows
-that share an id are judged by their own texts; an empty table gives no rows; further columns are ignored; ids are whole numbers.
+that share an id are judged by their own texts, and of a component those of one text stay; an empty table gives no rows; further columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ from hydroframe.llm.common import arrow_map, checkpoint, id_text, in_slices, rel
 from hydroframe.llm.hashing import run_hashes, word_hashes
 
 
+BITMAP = 4096  #: bits of the bitmaps that are compared before sets are
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted set of hashes of a text's shingles."""
     found = word_hashes((text or "").encode().lower())
@@ -88,7 +92,8 @@ class Bounds:
 
 
 def rare_first(sets: DataFrame, listed: Column, wanted: Column | None = None) -> DataFrame:
-    """value, node, size, rest: each set (node, size, values) under its rarest values; `rest` is how many values follow.
+    """value, node, size, rest, own: each set (node, size, values) under its rarest values; `rest` is how many values follow,
+    `own` how many the set has for itself.
 
     Values of one set only, and those that no set with `wanted` has, come first in the order and make no list.
     """
@@ -96,7 +101,7 @@ def rare_first(sets: DataFrame, listed: Column, wanted: Column | None = None) ->
     counts = posts.groupBy("value").agg(F.count("*").alias("n"), F.max("wanted").alias("any")).where("n > 1 and any").select("value", "n")
     held = posts.join(counts, "value").groupBy("node").agg(F.first("size").alias("size"), F.first("width").alias("width"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
     held = held.withColumn("own", F.col("width") - F.size("found")).withColumn("first", F.slice("found", F.lit(1), F.greatest(listed - F.col("own"), F.lit(0))))
-    return held.select("node", "size", "width", "own", F.posexplode("first").alias("at", "x")).select(F.col("x.value").alias("value"), "node", "size", (F.col("width") - 1 - F.col("own") - F.col("at")).alias("rest"))
+    return held.select("node", "size", "width", "own", F.posexplode("first").alias("at", "x")).select(F.col("x.value").alias("value"), "node", "size", (F.col("width") - 1 - F.col("own") - F.col("at")).alias("rest"), "own")
 
 
 def sized_lists(lists: DataFrame) -> DataFrame:
@@ -110,17 +115,15 @@ def met(left: DataFrame, right: DataFrame, on: list[str], bounds: Bounds) -> Dat
     return x.join(y, on).where(bounds.reachable(F.col("size_l"), F.col("size_r"), F.col("rest_l"), F.col("rest_r")))
 
 
-def stars(long_lists: DataFrame, percent: int, ways: int = 4) -> DataFrame:
-    """Pairs of each member with two classes of about its size and with one of the next size.
-
-    Lists of the same classes choose differently, in `ways` ways, so that few members are left without a link.
+def stars(long_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member with the class of about its size that has the fewest values of its own, the likeliest centre of
+    a group, with the smallest such class by hash, and with the first of the next size.
     """
     size_class = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")
     rows = long_lists.withColumn("c", size_class)
     node = F.struct("node", "size")
-    order = F.xxhash64(F.col("node"), F.pmod("value", F.lit(ways)))
-    heads = rows.groupBy("value", "c").agg(F.min_by(node, order).alias("one"), F.max_by(node, order).alias("two"))
-    own = heads.select("value", "c", F.explode(F.array("one", "two")).alias("h"))
+    heads = rows.groupBy("value", "c").agg(F.min_by(node, F.struct("own", F.xxhash64("node"))).alias("one"), F.min_by(node, F.xxhash64("node")).alias("two"))
+    own = heads.select("value", "c", F.explode(F.array_distinct(F.array("one", "two"))).alias("h"))
     heads = own.union(heads.select("value", F.col("c") - 1, "one")).select("value", "c", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"))
     near = 100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")
     return rows.join(heads, ["value", "c"]).where((F.col("node") != F.col("head")) & near).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
@@ -199,42 +202,91 @@ def strays(members: DataFrame, found: DataFrame) -> DataFrame:
     return held.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("stray"))
 
 
+def bitmaps(sets: list[np.ndarray], size: int = BITMAP) -> pa.Array:
+    """For each set `size` bits, by the lowest bits of its values."""
+    out = np.zeros((len(sets), size), dtype=bool)
+    for row, values in zip(out, sets, strict=True):
+        row[values & (size - 1)] = True
+    return pa.array([r.tobytes() for r in np.packbits(out, axis=1)], pa.binary())
+
+
+def comparable(left: dict[str, np.ndarray], right: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different components whose sizes, places in the list and bitmaps still allow a link.
+
+    Each bit in which two bitmaps differ stands for a value that one set has and the other lacks.
+    """
+    both = left["size"][:, None] + right["size"][None, :]
+    need = -(-percent * both // (100 + percent))
+    low, high = np.minimum(left["size"][:, None], right["size"][None, :]), np.maximum(left["size"][:, None], right["size"][None, :])
+    fine = (100 * low >= percent * high) & (np.minimum(left["rest"][:, None], right["rest"][None, :]) + 1 >= need)
+    i, j = np.nonzero(fine & (left["component"][:, None] != right["component"][None, :]))
+    close = np.zeros(i.size, dtype=bool)
+    for at in range(0, i.size, 20_000):
+        x, y = i[at : at + 20_000], j[at : at + 20_000]
+        differ = np.bitwise_count(left["bits"][x] ^ right["bits"][y]).sum(axis=1, dtype=np.int64)
+        close[at : at + 20_000] = both[x, y] - differ >= 2 * need[x, y]
+    return i[close], j[close]
+
+
 def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 1000) -> DataFrame:
     """Pairs (a, b) of strays with members of other components that may be linked; none that is linked is left out."""
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, 256):
             sets = [shingles(t, words) for t in part.column(3).to_pylist()]
             ends = np.cumsum([0] + [s.size for s in sets]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.size for s in sets], pa.int64()), lists], names=["node", "component", "stray", "size", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.size for s in sets], pa.int64()), lists, bitmaps(sets)], names=["node", "component", "stray", "size", "values", "bits"])
 
-    sets = arrow_map(nodes.join(texts, "node").select("node", "component", "stray", "text"), work, "node long, component long, stray boolean, size long, values array<long>")
+    sets = arrow_map(nodes.join(texts, "node").select("node", "component", "stray", "text"), as_sets, "node long, component long, stray boolean, size long, values array<long>, bits binary")
     sets = checkpoint(sets)
     listed = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    lists = sized_lists(rare_first(sets, listed, F.col("stray"))).join(sets.select("node", "component", "stray"), "node")
-    lists = checkpoint(lists.withColumn("side", F.expr(f"pmod(xxhash64(node), ceil(n / {block}))").cast("int")))
-    sides = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1))
-    left = lists.where("stray").withColumn("other", sides).drop("n", "stray")
-    right = lists.withColumn("other", F.col("side")).drop("n", "side", "stray")
-    pairs = met(left, right, ["value", "other"], Bounds(percent, 1 << 40, 0.0)).where("component_l <> component_r")
-    return pairs.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
+    lists = sized_lists(rare_first(sets, listed, F.col("stray"))).drop("own").join(sets.select("node", "component", "stray", "bits"), "node")
+    # A block holds `block` members of a list, and all strays of the list come to each of its blocks.
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    columns = ["value", "other", "left", "node", "component", "size", "rest", "bits"]
+    held = lists.withColumns({"other": F.pmod(F.xxhash64("node"), blocks).cast("int"), "left": F.lit(False)}).select(*columns)
+    come = lists.where("stray").withColumns({"other": F.explode(F.sequence(F.lit(0), blocks - 1)), "left": F.lit(True)}).select(*columns)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, {}
+        for part in in_slices(batches, 2000):
+            cols = {n: part.column(n).to_numpy(zero_copy_only=False) for n in columns[:-1]}
+            cols["rest"], cols["size"] = cols["rest"].astype(np.int64), cols["size"].astype(np.int64)
+            cols["bits"] = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1)
+            change = (cols["value"][1:] != cols["value"][:-1]) | (cols["other"][1:] != cols["other"][:-1]) | (cols["left"][1:] != cols["left"][:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), part.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                here = {n: cols[n][start:stop] for n in ("node", "component", "size", "rest", "bits")}
+                if not cols["left"][start]:
+                    if (now := (cols["value"][start], cols["other"][start])) == key:
+                        here = {n: np.concatenate((members[n], here[n])) for n in here}
+                    key, members = now, here
+                    continue
+                for at in range(0, stop - start, 500):
+                    some = {n: x[at : at + 500] for n, x in here.items()}
+                    i, j = comparable(some, members, percent)
+                    if i.size:
+                        x, y = some["node"][i], members["node"][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return arrow_map(held.union(come).repartition("value", "other").sortWithinPartitions("value", "other", "left"), work, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 48, short: int = 64, slack: float = 0.3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+    """doc_id, n_shingles, component_id, kept, text_hash (by which rows that share an id are told apart) for each row."""
     bounds = Bounds(percent, k, slack)
     rows = id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     marked = checkpoint(sketches(rows, words, k))
     known = marked.where("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = checkpoint(classes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("rep"), F.col("x.text_hash").alias("text_hash"), "size", "sketch"))
-    marked = marked.select("doc_id", "size", "digest")
+    marked = marked.select("doc_id", "text_hash", "size", "digest")
     # Smaller sets are linked with equal ones only, and those are their class.
     sets = classes.where(100 * F.col("size") >= percent * (F.col("size") + 1)).select("node", "size", F.col("sketch").alias("values"))
     lists = checkpoint(sized_lists(rare_first(sets, bounds.listed_column(F.col("size")))))
     release(rows.sparkSession)
-    few = lists.where(F.col("n") <= short).drop("n")
+    few = lists.where(F.col("n") <= short).drop("n", "own")
     found = met(few, few, ["value"], bounds).where("node_l < node_r").select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
     long_lists = lists.where(F.col("n") > short)
     overlaps = found.union(stars(long_lists, percent)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
@@ -250,16 +302,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fresh = checkpoint(verified(checkpoint(across(nodes, texts, words, percent)), texts, words, percent))
         if not fresh.isEmpty():
             found = components(links.union(fresh))
-    named = found.join(classes.select("node", "rep"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low")
-    labels = classes.join(named, "node", "left").select("digest", F.coalesce("low", "rep").alias("component"))
+    row = F.struct(F.col("rep").alias("doc_id"), "text_hash")
+    named = found.join(classes.select("node", row.alias("row")), "node")
+    named = named.join(named.groupBy("component").agg(F.min("row").alias("low")), "component").select("node", "low")
+    labels = classes.join(named, "node", "left").select("digest", F.coalesce("low", row).alias("low"))
     done = marked.join(labels, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return done.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    low = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", F.struct("doc_id", "text_hash")))
+    kept = F.coalesce((F.col("doc_id") == low["doc_id"]) & (F.col("text_hash") == low["text_hash"]), F.lit(True))
+    return done.select("doc_id", F.col("size").alias("n_shingles"), low["doc_id"].alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), words=2)
+    return near_groups(table(spark, sf_dir, "documents"), words=2).drop("text_hash")
 
 
 ORACLE = r"""
