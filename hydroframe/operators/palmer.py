@@ -6,6 +6,8 @@ what lies between them (coefficients, weights) is a few numbers for each month o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,45 +31,34 @@ def carry(m: float, b: float) -> float:
     return b / (m + b)
 
 
+def drawn(need: float, upper: float, under: float, capacity: float) -> tuple[float, float]:
+    """What a need takes from the layers: the upper one gives all it can, the lower one as the `capacity` is full by it."""
+    first = min(upper, need)
+    return first, min(under, (need - first) * under / capacity) if under else 0.0
+
+
 def balance(p: np.ndarray, pet: np.ndarray, awc: float) -> dict[str, np.ndarray]:
     """Flows of the two-layer balance for consecutive months, both layers full at first.
 
-    A missing month counts as one without rain or demand in every comparison, and empties both layers.
+    A month whose rain or demand is missing empties both layers.
     """
-    under = max(awc - SURFACE, 0.0)
-    upper_now, under_now = SURFACE, under
-    rows = np.empty((p.size, len(FLOWS)))
-    for t in range(p.size):
-        rain, demand = float(p[t]), float(pet[t])
-        held = upper_now + under_now
-        room = under + SURFACE - held
-        can_lose = demand if upper_now >= demand else min(held, (demand - upper_now) * under_now / (under + SURFACE) + upper_now)
-        gain = loss = runoff = 0.0
-        surplus = rain - demand
-        if rain >= demand:
-            used = demand
-            to_upper = SURFACE - upper_now if surplus > SURFACE - upper_now else surplus
-            if surplus > SURFACE - upper_now:
-                below, space = surplus - to_upper, under - under_now
-                to_under = below if below < space else space
-                runoff = 0.0 if below < space else below - to_under
-                upper_now, under_now = SURFACE, under_now + to_under
-                gain = to_upper + to_under
-            else:
-                upper_now += surplus
-                gain = surplus
-        else:
-            if upper_now >= -surplus:
-                from_upper, from_under = -surplus, 0.0
-                upper_now -= from_upper
-            else:
-                from_upper = upper_now
-                from_under = min(under_now, (-surplus - from_upper) * under_now / awc)
-                upper_now, under_now = 0.0, under_now - from_under
-            loss = from_upper + from_under
-            used = rain + loss
-        rows[t] = held, can_lose, room, gain, loss, used, runoff
-    return dict(zip(FLOWS, rows.T, strict=True))
+    below = max(awc - SURFACE, 0.0)
+    size = SURFACE + below
+    upper, under, rows = SURFACE, below, []
+    for rain, demand in zip(p.tolist(), pet.tolist(), strict=True):
+        held = upper + under
+        can_lose = held if math.isnan(demand) else sum(drawn(demand, upper, under, size))
+        if math.isnan(rain - demand):
+            rows.append((held, can_lose, size - held, 0.0, held, rain + held, 0.0))
+            upper = under = 0.0
+            continue
+        surplus, short = max(rain - demand, 0.0), max(demand - rain, 0.0)
+        to_upper = min(surplus, SURFACE - upper)
+        to_under = min(surplus - to_upper, below - under)
+        from_upper, from_under = drawn(short, upper, under, awc)
+        rows.append((held, can_lose, size - held, to_upper + to_under, from_upper + from_under, min(rain, demand) + from_upper + from_under, surplus - to_upper - to_under))
+        upper, under = upper + to_upper - from_upper, under + to_under - from_under
+    return dict(zip(FLOWS, np.array(rows).reshape(-1, len(FLOWS)).T, strict=True))
 
 
 def share(part: np.ndarray, whole: np.ndarray, both_zero: float) -> np.ndarray:
@@ -267,17 +258,22 @@ def cafec(flows: DataFrame, keys: list[str], calibration: tuple[int, int]) -> Da
     return s.select(*keys, "period", ratio("et", "e", 1.0).alias("alpha"), ratio("r", "pr", 1.0).alias("beta"), ratio("ro", "sp", 1.0).alias("gamma"), ratio("tl", "pl", 0.0).alias("delta"))
 
 
-def palmer(df: DataFrame, keys: list[str], calibration: tuple[int, int], time: str = "time", precip: str = "prcp", pet: str = "pet", awc: str = "awc", units: str = "inch", given: DataFrame | None = None, wet: tuple[float, float] | None = None, dry: tuple[float, float] | None = None) -> DataFrame:
+def palmer(df: DataFrame, keys: list[str], calibration: tuple[int, int], time: str = "time", precip: str = "prcp", pet: str = "pet", awc: str = "awc", units: str = "inch", given: DataFrame | None = None, wet: tuple[float, float] | None = None, dry: tuple[float, float] | None = None, factors: DataFrame | None = None) -> DataFrame:
     """keys, time, pdsi, phdi, pmdi, z for each month.
 
     `given` holds CAFEC coefficients (keys, period, alpha, beta, gamma, delta) of an earlier run; a cell uses its own if
-    it has not all twelve there.  A cell without any precipitation is missing throughout.
+    it has not all twelve there.  `factors` holds duration factors of the cells (keys, wet_m, wet_b, dry_m, dry_b); where a
+    cell has none there, or where they don't sum to more than 0, `wet` and `dry` hold, by default Palmer's own.  A cell
+    without any precipitation is missing throughout.
     """
     dense = _dense(df, keys, time, precip, pet, awc, units)
     if given is not None:
         lists = given.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("period", "alpha", "beta", "gamma", "delta"))).alias("_c"))
         dense = dense.join(lists, keys, "left") if keys else dense.crossJoin(lists)
-    wet, dry = wet or default_factors(), dry or default_factors()
+    if factors is not None:
+        own = factors.select(*keys, *[F.when(F.col(f"{x}_m") + F.col(f"{x}_b") > 0, F.array(f"{x}_m", f"{x}_b")).alias(f"_{x}") for x in ("wet", "dry")])
+        dense = dense.join(own, keys, "left") if keys else dense.crossJoin(own)
+    wet, dry, has_factors = wet or default_factors(), dry or default_factors(), factors is not None
     names = [f.name for f in dense.schema if f.name in keys]
     has_given = given is not None
 
@@ -294,7 +290,8 @@ def palmer(df: DataFrame, keys: list[str], calibration: tuple[int, int], time: s
             if found is not None and len(found) == 12:
                 c = {k: np.array([row[k] for row in found], dtype=float) for k in ("alpha", "beta", "gamma", "delta")}
         z = z_index(p, e, flows, c or coefficients(flows, e, years), years)
-        s = Spells(z, wet, dry)
+        own = {x: data[f"_{x}"].iloc[0] if has_factors else None for x in ("wet", "dry")}
+        s = Spells(z, *(tuple(own[x]) if own[x] is not None else fixed for x, fixed in (("wet", wet), ("dry", dry))))
         return out.assign(pdsi=s.pdsi, phdi=s.phdi, pmdi=s.pmdi, z=z)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dense.schema if f.name in [*keys, "year", "period", "idx", "pad"])

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hydroframe.errors import InvalidArgument, NotEnoughData
+from hydroframe.errors import InvalidArgument
 from hydroframe.operators import calibration, palmer
 
 K = ["cell"]
@@ -101,24 +101,46 @@ def test_frames(spark, climate):
         palmer.water_balance(df, K, units="cubits")
 
 
-def test_duration_factors(spark, climate):
+def plain_extreme(z, n, sign):
+    sums = [sum(z[i : i + n]) for i in range(len(z) - n + 1)]
+    if sign < 0:
+        return min(sums)
+    top = sorted(sums)[int(0.98 * len(sums)) - 1] if int(0.98 * len(sums)) else None
+    return max((s for s in sums if s > 0 and (top is None or (top and s / top < 1.25))), default=0.0)
+
+
+def plain_factors(z, sign):
+    x, y = np.array(calibration.LENGTHS, dtype=float), np.array([plain_extreme(z, n, sign) for n in calibration.LENGTHS])
+    n = next((n for n in range(10, 4, -1) if sign * np.corrcoef(x[:n], y[:n])[0, 1] >= 0.85), 4)
+    slope = np.polyfit(x[:n], y[:n], 1)[0]
+    rest = sign * (y[:n] - slope * x[:n])
+    return slope / (4 * sign), (sign * rest.max() if rest.max() > 0 else -slope * x[0]) / (4 * sign)
+
+
+def test_duration_factors(spark):
     rng = np.random.default_rng(0)
-    z = rng.normal(0, 2, 480)
-    m, b = calibration.factors(z, calibration.DRY)
-    assert m > 0 and b > 0
-    mirrored = calibration.fitted_line([3, 6, 9, 12], [3.0, 5, 7, 9], calibration.WET)
-    assert mirrored == pytest.approx((2 / 3, 1.0))
-    assert calibration.extreme_sum(np.array([1, np.nan, 2, -5, 1]), 2, calibration.DRY) == -4
-    assert calibration.extreme_sum(np.full(10, -1.0), 3, calibration.WET) == 0.0
-    with pytest.raises(NotEnoughData):
-        calibration.extreme_sum(np.array([1.0, np.nan]), 2, calibration.WET)
-    for bad in ((np.ones(5), 2, 0), (np.ones(5), 0, 1), (np.ones(5), 1.5, 1)):
-        with pytest.raises(InvalidArgument):
-            calibration.extreme_sum(*bad)
-    assert calibration.truncated_percentile(np.arange(1, 101), 0.98) == 98 and np.isnan(calibration.truncated_percentile(np.array([1.0]), 0.5))
-    rows = [(c, dt.date(1950 + k // 12, k % 12 + 1, 1), float(z[k])) for c in (1, 2) for k in range(480 if c == 1 else 30)]
+    cells = {1: rng.normal(0, 2, 480), 2: rng.normal(0, 2, 30), 3: rng.normal(0, 2, 200).cumsum() / 5, 4: rng.normal(3, 1, 90), 5: np.zeros(90)}
+    rows = [(c, dt.date(1950 + k // 12, k % 12 + 1, 1), float(v) if k != 7 else None) for c, z in cells.items() for k, v in enumerate(z)]
     df = spark.createDataFrame(rows, "cell int, time date, z double")
     got = {r["cell"]: r for r in calibration.duration_factors(df, K).collect()}
-    assert got[1]["dry_m"] == pytest.approx(m) and got[2]["dry_m"] is None
-    sums = calibration.extreme_sums(df, K, 12).where("cell = 1").first()
-    assert sums["dry"] == pytest.approx(calibration.extreme_sum(z, 12, -1)) and sums["wet"] == pytest.approx(calibration.extreme_sum(z, 12, 1))
+    assert list(got[2])[1:] == list(got[5])[1:] == [None] * 4
+    for c in (1, 3, 4):
+        z = [float(v) for k, v in enumerate(cells[c]) if k != 7]
+        assert list(got[c])[1:] == pytest.approx([*plain_factors(z, 1), *plain_factors(z, -1)])
+    sums = {(r["cell"], r["length"]): (r["wet"], r["dry"]) for r in calibration.extreme_sums(df, K, (2, 12)).collect()}
+    z = [float(v) for k, v in enumerate(cells[3]) if k != 7]
+    assert sums[3, 12] == pytest.approx((plain_extreme(z, 12, 1), plain_extreme(z, 12, -1))) and sums[5, 2] == (0.0, 0.0)
+    assert calibration.duration_factors(df.where("cell = 1").drop("cell"), []).first()["wet_m"] == pytest.approx(got[1]["wet_m"])
+    for bad in (0, 1.5, True):
+        with pytest.raises(InvalidArgument):
+            calibration.extreme_sums(df, K, (bad,))
+
+
+def test_factors_of_each_cell(spark, climate):
+    """A cell's own duration factors change its series only; unusable ones leave the default."""
+    df = frame(spark, climate, (1, 2, 3))
+    fits = spark.createDataFrame([(1, 0.2, 2.0, 0.4, 2.5), (3, 0.1, -0.4, None, 1.0)], "cell int, wet_m double, wet_b double, dry_m double, dry_b double")
+    own = {c: [tuple(r)[2:] for r in palmer.palmer(df, K, (1960, 1990), factors=fits).where(f"cell = {c}").orderBy("time").collect()] for c in (1, 2, 3)}
+    plain = {c: [tuple(r)[2:] for r in palmer.palmer(df, K, (1960, 1990)).where(f"cell = {c}").orderBy("time").collect()] for c in (1, 2, 3)}
+    given = [tuple(r)[2:] for r in palmer.palmer(df, K, (1960, 1990), wet=(0.2, 2.0), dry=(0.4, 2.5)).where("cell = 1").orderBy("time").collect()]
+    assert own[1] == given != plain[1] and own[2] == plain[2] and own[3] == plain[3]
