@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.errors import CoordinateError, InputTypeError
+from hydroframe.errors import CoordinateError, InvalidArgument
 from hydroframe.functions.expr import in_units, missing_as_null
 from hydroframe.operators.indices import current_names
+from hydroframe.operators.metadata import KNOWN, describe
+from hydroframe.sources.netcdf import NetcdfSource
 
 GAMMA, PEARSON = ["alpha", "beta"], ["prob_zero", "loc", "scale", "skew"]
 
@@ -20,7 +24,8 @@ def read_series(spark: SparkSession, paths: str | list[str], columns: dict[str,
     several = sorted({paths} if isinstance(paths, str) else set(paths))
     file_format = file_format or ("csv" if several[0].endswith((".csv", ".csv.gz")) else "orc" if several[0].endswith(".orc") else "netcdf" if several[0].endswith(".nc") else "parquet")
     if file_format == "netcdf":
-        return _netcdf(spark, several, columns, keys, time)
+        df = _netcdf(spark, several, columns, keys, time)
+        return df.select(*keys, F.to_date(time).alias(time), *[in_units(missing_as_null(F.col(n)), (units or {}).get(n, "mm")).alias(n) for n in columns])
     df = spark.read.options(header=True, inferSchema=True).csv(several) if file_format == "csv" else spark.read.format(file_format).load(several)
     if absent := [c for c in (*keys, time, *columns.values()) if c not in df.columns]:
         raise CoordinateError(f"columns {absent} are missing; there are {df.columns}")
@@ -28,23 +33,11 @@ def read_series(spark: SparkSession, paths: str | list[str], columns: dict[str,
 
 
 def _netcdf(spark: SparkSession, paths: list[str], columns: dict[str, str], keys: list[str], time: str) -> DataFrame:
-    """One task for each file; needs a netCDF library on the executors."""
-    try:
-        import xarray  # noqa: F401
-    except ImportError:
-        raise InputTypeError("no netCDF library is installed; convert to Parquet with columns for cell, time and values") from None
-
-    def work(batches):
-        import xarray
-
-        for batch in batches:
-            for path in batch["path"]:
-                frame = xarray.open_dataset(path)[list(columns.values())].to_dataframe().reset_index()
-                yield frame.rename(columns={c: n for n, c in columns.items()})[[*keys, time, *columns]]
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    schema = "".join(f"`{k}` double, " for k in keys) + f"`{time}` timestamp, " + ", ".join(f"`{n}` double" for n in columns)
-    return files.mapInPandas(work, schema)
+    """Classic files by the data source of this package, one task for each slice of a file."""
+    spark.dataSource.register(NetcdfSource)
+    options = {"paths": json.dumps(paths), "keys": json.dumps(keys), "variables": json.dumps(list(columns.values())), "time": time}
+    df = spark.read.format("netcdf").options(**options).load()
+    return df.select(*keys, time, *[F.col(c).alias(n) for n, c in columns.items()])
 
 
 def join_series(parts: list[DataFrame], keys: list[str], time: str = "time") -> DataFrame:
@@ -67,12 +60,19 @@ def load_params(spark: SparkSession, path: str, distribution: str) -> DataFrame:
     return params
 
 
-def variable_name(index: str, distribution: str | None, scale: int | None) -> str:
-    """Names of result variables: spi_gamma_03, pnp_03, pet_thornthwaite."""
-    return "_".join(x for x in (index, distribution, f"{scale:02d}" if scale else None) if x)
+def variable_name(index: str, distribution: str | None, scale: int | None, style: str = "padded") -> str:
+    """Names of result variables: spi_gamma_03, pnp_03, pet_thornthwaite; with the style "month", spi_gamma_3_month."""
+    if style not in ("padded", "month"):
+        raise InvalidArgument(f"unknown style {style}", "style", style, "padded, month")
+    step = None if not scale else f"{scale:02d}" if style == "padded" else f"{scale}_month"
+    return "_".join(x for x in (index, distribution, step) if x)
 
 
-def write_index(df: DataFrame, path: str, partition_by: list[str] | None = None, overwrite: bool = False, files: int | None = None) -> None:
+def write_index(df: DataFrame, path: str, partition_by: list[str] | None = None, overwrite: bool = False, files: int | None = None, note: str = "") -> None:
+    """Writes a table whose result columns carry their names, units, references and history as metadata."""
+    for column in df.columns:
+        if column in KNOWN:
+            df = describe(df, column, column, note)
     out = df if files is None else df.repartition(files)
     out = out.write.mode("overwrite" if overwrite else "error")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
