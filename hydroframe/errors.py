@@ -17,18 +17,6 @@ class NotEnoughData(FittingError):
         self.found, self.needed = found, needed
 
 
-class PearsonFitError(FittingError):
-    """L-moments that no Pearson type III distribution has."""
-
-
-class NoConvergence(FittingError):
-    """An iteration did not settle."""
-
-
-class DimensionMismatch(HydroError):
-    """Inputs that should have the same cells or times do not."""
-
-
 class CoordinateError(HydroError):
     """A needed key or time column is missing, or nothing is left after aligning."""
 

@@ -81,7 +81,8 @@ def np_pearson3_cdf(x: np.ndarray, loc: np.ndarray, scale: np.ndarray, skew: np.
         flat = np.abs(skew) < 1e-5
         shape = np.where(flat, np.nan, 4.0 / np.square(skew))
         y = shape + 2.0 * z / skew
-        out = np.where(skew > 0, np_gammainc(shape, np.maximum(y, 0.0)), np_gammainc(shape, np.maximum(y, 0.0), upper=True))
+        out = np_gammainc(shape, np.maximum(y, 0.0))
+        out = np.where(skew > 0, out, 1.0 - out)
         out = np.where(flat, np_norm_cdf(np.where(flat, z, np.nan)), out)
         return np.where(np.isnan(z), np.nan, out)
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe import errors
-from hydroframe.functions.special import np_gammainc, np_pearson3_cdf
-from hydroframe.operators.fitting import gamma_fit, pearson_fit
+from hydroframe.functions.special import gamma_cdf, pearson3_cdf
+from hydroframe.operators.fitting import failed_share, gamma_fit, pearson_fit
+from hydroframe.operators.series import by_keys, dropped
 
 
 def calibration_quality(dense: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
@@ -37,18 +36,36 @@ def goodness_of_fit(dense: DataFrame, keys: list[str], value: str = "value", dis
     fit = gamma_fit(dense, keys, value, calibration) if distribution == "gamma" else pearson_fit(dense, keys, value, calibration)
     rows = dense if calibration is None else dense.where(F.col("year").between(*calibration))
     rows = rows.where(F.col(value) > 0).select(*keys, "period", F.col(value).alias("_v")).join(fit, [*keys, "period"])
-
-    def work(data: pd.DataFrame) -> pd.DataFrame:
-        x, first = np.sort(data["_v"].to_numpy(float)), data.iloc[0]
-        with np.errstate(all="ignore"):
-            cdf = np_gammainc(np.full(x.size, first["alpha"], dtype=float), x / float(first["beta"] or np.nan)) if distribution == "gamma" else np_pearson3_cdf(x, *(np.full(x.size, first[c], dtype=float) for c in ("loc", "scale", "skew")))
-        n = x.size
-        gap = np.max(np.maximum(np.arange(1, n + 1) / n - cdf, cdf - np.arange(n) / n))
-        critical = 1.358 / np.sqrt(n)
-        return pd.DataFrame([{**{k: first[k] for k in keys}, "period": first["period"], "n": n, "statistic": gap, "critical": critical, "poor": bool(gap > critical)}])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in dense.schema if f.name in keys)
-    return rows.groupBy(*keys, "period").applyInPandas(work, schema + "period int, n int, statistic double, critical double, poor boolean")
+    v, w = F.col("_v"), by_keys(keys, "period")
+    cdf = gamma_cdf(v, F.col("alpha"), F.col("beta")) if distribution == "gamma" else pearson3_cdf(v, F.col("loc"), F.col("scale"), F.col("skew"))
+    rows = rows.withColumn("_f", cdf).withColumns({"_i": F.row_number().over(w.orderBy("_v")), "_n": F.count("*").over(w)})
+    gap = F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))
+    out = rows.groupBy(*keys, "period").agg(F.count("*").cast("int").alias("n"), F.max(gap).alias("statistic"))
+    out = out.withColumn("critical", 1.358 / F.sqrt("n"))
+    return out.withColumn("poor", F.coalesce(F.col("statistic") > F.col("critical"), F.lit(False)))
+
+
+def warn_of_fits(params: DataFrame, keys: list[str]) -> None:
+    """Warns where over 80 % of a cell's periods have no Pearson fit; runs one aggregate."""
+    poor, n = failed_share(params, keys).agg(F.count_if(F.col("share") > 0.8), F.count("*")).first()
+    if poor:
+        warnings.warn(f"{poor} of {n} cells have no Pearson fit in over 80 % of their periods", errors.PoorFitWarning, stacklevel=2)
+
+
+def warn_of_alignment(a: DataFrame, b: DataFrame, keys: list[str], time: str = "time") -> None:
+    """Warns of rows without a partner, and raises if no row has one; runs two anti-joins and, at need, a count."""
+    left, right = dropped(a, b, keys, time).first()
+    if left and a.count() == left:
+        raise errors.CoordinateError("the two series have no cell and time in common")
+    if left or right:
+        warnings.warn(f"{left} rows of the first and {right} of the second series have no partner", errors.AlignmentWarning, stacklevel=2)
+
+
+def require_effective_years(dense: DataFrame, keys: list[str], value: str = "value", per_year: int = 12) -> None:
+    """Raises where a cell with missing values has under 30 years of present ones; runs one aggregate."""
+    short, n = effective_years(dense, keys, value, per_year).agg(F.count_if(~F.col("enough")), F.count("*")).first()
+    if short:
+        raise errors.NotEnoughData(f"{short} of {n} cells have under 30 years of values", short, 30)
 
 
 def warn(quality: DataFrame) -> None:

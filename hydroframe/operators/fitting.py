@@ -33,33 +33,61 @@ def gamma_fit(df: DataFrame, keys: list[str], value: str = "value", calibration:
     return sums.select(*keys, "period", alpha.alias("alpha"), beta.alias("beta"), F.when(F.col("p0") < 1, F.col("p0")).otherwise(0.0).alias("prob_zero_gamma"))
 
 
-def lmoments(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
-    """keys, period, n, n_zero, l1, l2, t3: sample L-moments of the calibration years, by ranks and sums."""
-    rows = _mark(df, keys, calibration).where(F.col("_calib")).drop("_calib")
-    w = by_keys(keys, "period").orderBy(F.col(value).asc_nulls_last())
-    r = (F.row_number().over(w) - 1).cast("double")
-    v, i = F.col(value), F.col("_r")
-    sums = rows.withColumn("_r", r).groupBy(*keys, "period").agg(
-        F.count(v).alias("n"), F.count_if(v == 0).alias("n_zero"), F.sum(v).alias("s0"), F.sum(v * i).alias("s1"), F.sum(v * i * (i - 1)).alias("s2")
-    )
-    n = F.col("n").cast("double")
-    b0 = F.try_divide(F.col("s0"), n)
-    b1 = F.try_divide(F.col("s1"), n * (n - 1))
-    b2 = F.try_divide(F.col("s2"), n * (n - 1) * (n - 2))
+def _rank_sums(v: Column, r: Column) -> dict[str, Column]:
+    """What sample L-moments need of values and their ranks (from 0), as aggregates or windows."""
+    return {"_n": F.count(v), "_nz": F.count_if(v == 0), "_s0": F.sum(v), "_s1": F.sum(v * r), "_s2": F.sum(v * r * (r - 1))}
+
+
+def _with_lmoments(df: DataFrame) -> DataFrame:
+    """Adds _l1, _l2, _t3 from the sums of _rank_sums."""
+    n = F.col("_n").cast("double")
+    b0, b1, b2 = F.try_divide(F.col("_s0"), n), F.try_divide(F.col("_s1"), n * (n - 1)), F.try_divide(F.col("_s2"), n * (n - 1) * (n - 2))
     l2 = 2 * b1 - b0
-    return sums.select(*keys, "period", "n", "n_zero", b0.alias("l1"), l2.alias("l2"), F.try_divide(6 * b2 - 6 * b1 + b0, l2).alias("t3"))
+    return df.withColumns({"_l1": b0, "_l2": l2, "_t3": F.try_divide(6 * b2 - 6 * b1 + b0, l2)})
 
 
-def pearson_fit(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
-    """keys, period, prob_zero, loc, scale, skew; all 0 for a period with fewer than four values besides zeros, or no fit."""
-    m = lmoments(df, keys, value, calibration).withColumn("_shape", pearson_shape(F.col("t3")))
+def _with_pearson(df: DataFrame) -> DataFrame:
+    """Adds prob_zero, loc, scale, skew from the L-moments; all 0 with fewer than four values besides zeros, or no fit."""
+    m = df.withColumn("_shape", pearson_shape(F.col("_t3")))
     m = m.withColumn("_log", lgamma(F.col("_shape")) - lgamma(F.col("_shape") + 0.5))
-    loc, scale, skew = pearson_from_lmoments(F.col("l1"), F.col("l2"), F.col("t3"), F.col("_shape"), F.col("_log"))
+    loc, scale, skew = pearson_from_lmoments(F.col("_l1"), F.col("_l2"), F.col("_t3"), F.col("_shape"), F.col("_log"))
     m = m.withColumns({"_loc": loc, "_scale": scale, "_skew": skew})
-    loc, scale, skew = F.col("_loc"), F.col("_scale"), F.col("_skew")
-    enough = (F.col("n") - F.col("n_zero") >= 4) & scale.isNotNull() & skew.isNotNull()
+    enough = (F.col("_n") - F.col("_nz") >= 4) & F.col("_scale").isNotNull() & F.col("_skew").isNotNull()
     or_zero = lambda c: F.when(enough, c).otherwise(F.lit(0.0))
-    return m.select(*keys, "period", or_zero(F.try_divide(F.col("n_zero"), F.col("n"))).alias("prob_zero"), or_zero(loc).alias("loc"), or_zero(scale).alias("scale"), or_zero(skew).alias("skew"))
+    return m.withColumns({"prob_zero": or_zero(F.try_divide(F.col("_nz"), F.col("_n"))), "loc": or_zero(F.col("_loc")), "scale": or_zero(F.col("_scale")), "skew": or_zero(F.col("_skew"))})
+
+
+def lmoments(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
+    """keys, period, n, n_zero, l1, l2, t3: sample L-moments of the calibration years, by ranks and sums."""
+    m = _with_lmoments(_rank_table(df, keys, value, calibration))
+    return m.select(*keys, "period", F.col("_n").alias("n"), F.col("_nz").alias("n_zero"), F.col("_l1").alias("l1"), F.col("_l2").alias("l2"), F.col("_t3").alias("t3"))
+
+
+def _rank_table(df: DataFrame, keys: list[str], value: str, calibration: tuple[int, int] | None) -> DataFrame:
+    rows = _mark(df, keys, calibration).where(F.col("_calib"))
+    rank = F.row_number().over(by_keys(keys, "period").orderBy(F.col(value).asc_nulls_last()))
+    sums = _rank_sums(F.col(value), F.col("_r"))
+    return rows.withColumn("_r", (rank - 1).cast("double")).groupBy(*keys, "period").agg(*[c.alias(name) for name, c in sums.items()])
+
+
+def pearson_fit(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
+    """keys, period, prob_zero, loc, scale, skew; all 0 for a period with fewer than four values besides zeros, or no fit."""
+    return _with_pearson(_with_lmoments(_rank_table(df, keys, value, calibration))).select(*keys, "period", "prob_zero", "loc", "scale", "skew")
+
+
+def with_pearson_fit(df: DataFrame, keys: list[str], value: str = "value", calibration: tuple[int, int] | None = None) -> DataFrame:
+    """Adds the columns of pearson_fit to each row, by windows that share the exchange of the trailing sum."""
+    w, own = by_keys(keys, "period"), df.columns
+    rows = _mark(df, keys, calibration).withColumn("_v", F.when(F.col("_calib"), F.col(value)))
+    rows = rows.withColumn("_r", (F.row_number().over(w.orderBy(F.col("_v").asc_nulls_last())) - 1).cast("double"))
+    rows = rows.withColumns({name: c.over(w) for name, c in _rank_sums(F.col("_v"), F.col("_r")).items()})
+    return _with_pearson(_with_lmoments(rows)).select(*own, "prob_zero", "loc", "scale", "skew")
+
+
+def failed_share(params: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failed, periods, share: how many periods of each cell have no Pearson fit; a diagnostic query."""
+    out = params.groupBy(*keys).agg(F.count_if((F.col("scale") == 0) & (F.col("skew") == 0)).alias("failed"), F.count("*").alias("periods"))
+    return out.withColumn("share", F.col("failed") / F.col("periods"))
 
 
 def with_gamma_z(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hydroframe.errors import InvalidArgument
+from hydroframe.errors import InvalidArgument, OldNameWarning
 from hydroframe.functions.calendar import Periodicity
 from hydroframe.functions.expr import bounded, hastings
 from hydroframe.operators import fitting
-from hydroframe.operators.series import by_keys, calibration_years, check_scale, clip_negative, densify, trailing_sum, trim
+from hydroframe.operators.extend import require
+from hydroframe.operators.series import by_keys, calibration_years, check_frame, check_scale, clip_negative, densify, trailing_sum, trim
 
 
 class Distribution(Enum):
@@ -31,7 +34,10 @@ def _distribution(name: str | Distribution) -> Distribution:
 
 
 def current_names(params: DataFrame) -> DataFrame:
-    return params.withColumnsRenamed({k: v for k, v in OLD_NAMES.items() if k in params.columns and v not in params.columns})
+    old = {k: v for k, v in OLD_NAMES.items() if k in params.columns and v not in params.columns}
+    if old:
+        warnings.warn(f"parameter columns {sorted(old)} have old names", OldNameWarning, stacklevel=2)
+    return params.withColumnsRenamed(old)
 
 
 def standardise(dense: DataFrame, keys: list[str], value: str, distribution: str | Distribution, calibration: tuple[int, int] | None = None, params: DataFrame | None = None, fallback: bool = True) -> DataFrame:
@@ -57,13 +63,14 @@ def standardise(dense: DataFrame, keys: list[str], value: str, distribution: str
     if kind is Distribution.gamma:
         rows = gamma(dense, given)
         return fitting.with_gamma_z(rows, value, "z").drop("alpha", "beta", "prob_zero_gamma")
-    table = fitting.pearson_fit(dense, keys, value, calibration) if given is None else given.select(*on, "prob_zero", "loc", "scale", "skew")
-    rows = fitting.with_pearson_z(dense.join(table, on, "left"), value, "z").drop("prob_zero", "loc", "scale", "skew")
+    rows = fitting.with_pearson_fit(dense, keys, value, calibration) if given is None else dense.join(given.select(*on, "prob_zero", "loc", "scale", "skew"), on, "left")
+    rows = fitting.with_pearson_z(rows, value, "z").drop("prob_zero", "loc", "scale", "skew")
     if not fallback:
         return rows
-    rows = fitting.with_gamma_z(gamma(rows, None), value, "_other")
-    rows = rows.withColumn("_bad", F.avg(F.col("z").isNull().cast("int")).over(by_keys(keys)) > 0.5)
-    return rows.withColumn("z", F.when(F.col("_bad"), F.col("_other")).otherwise(F.col("z"))).drop("_bad", "_other", "alpha", "beta", "prob_zero_gamma")
+    # Only the values of failed cells are evaluated; the fit itself is two windows.
+    rows = gamma(rows.withColumn("_bad", F.avg(F.col("z").isNull().cast("int")).over(by_keys(keys)) > 0.5), None)
+    rows = fitting.with_gamma_z(rows.withColumn("_left", F.when(F.col("_bad"), F.col(value))), "_left", "_other")
+    return rows.withColumn("z", F.when(F.col("_bad"), F.col("_other")).otherwise(F.col("z"))).drop("_bad", "_left", "_other", "alpha", "beta", "prob_zero_gamma")
 
 
 def _gamma_by_windows(df: DataFrame, keys: list[str], value: str, calibration: tuple[int, int] | None) -> DataFrame:
@@ -80,43 +87,61 @@ def _finish(df: DataFrame, keys: list[str], time: str, keep: list[str], periodic
     return trim(df, time, periodicity).select(*keys, time, *keep)
 
 
-def spi(df: DataFrame, keys: list[str], scale: int, distribution: str | Distribution = "gamma", time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, params: DataFrame | None = None, out: str = "spi") -> DataFrame:
-    """Standardised precipitation index: keys, time, `out`."""
+def spi(df: DataFrame, keys: list[str], scale: int, distribution: str | Distribution = "gamma", time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, params: DataFrame | None = None, out: str = "spi", check: bool = False) -> DataFrame:
+    """Standardised precipitation index: keys, time, `out`.  `check` raises for too short series and repeated times first."""
     check_scale(scale)
+    if check:
+        check_series(df, keys, scale, time)
     dense = clip_negative(densify(df, keys, time, (value,), periodicity), keys, value)
     summed = trailing_sum(dense, keys, value, scale)
     return _finish(standardise(summed, keys, value, distribution, calibration, params).withColumnRenamed("z", out), keys, time, [out], periodicity)
 
 
-def spei(df: DataFrame, keys: list[str], scale: int, distribution: str | Distribution = "gamma", time: str = "time", precip: str = "prcp", pet: str = "pet", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, params: DataFrame | None = None, out: str = "spei") -> DataFrame:
+def spei(df: DataFrame, keys: list[str], scale: int, distribution: str | Distribution = "gamma", time: str = "time", precip: str = "prcp", pet: str = "pet", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, params: DataFrame | None = None, out: str = "spei", check: bool = False) -> DataFrame:
     """Standardised precipitation minus evapotranspiration index; 1000 is added to each step's difference."""
     check_scale(scale)
+    if check:
+        check_series(df, keys, scale, time)
     dense = clip_negative(densify(df, keys, time, (precip, pet), periodicity), keys, precip)
     dense = dense.withColumn("_d", F.col(precip) - F.col(pet) + 1000.0)
     summed = trailing_sum(dense, keys, "_d", scale)
     return _finish(standardise(summed, keys, "_d", distribution, calibration, params, fallback=False).withColumnRenamed("z", out), keys, time, [out], periodicity)
 
 
-def climatology_rank(value: Column, climatology: Column) -> Column:
-    return F.lit(1) + F.size(F.filter(climatology, lambda x: x < value))
+def climatology_rank(df: DataFrame, keys: list[str], value: str, inside: Column) -> DataFrame:
+    """Adds _rank, one more than the values below a row's among those `inside` of its cell and period, and their number _n.
+
+    Two running counts: those up to the value, less those equal to it.
+    """
+    v, w = F.when(inside, F.col(value)), by_keys(keys, "period")
+    upto = F.count(v).over(w.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumns({"_rank": upto - F.count(v).over(by_keys(keys, "period", value)) + 1, "_n": F.count(v).over(w)})
 
 
-def eddi(df: DataFrame, keys: list[str], scale: int, time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, out: str = "eddi") -> DataFrame:
+def eddi(df: DataFrame, keys: list[str], scale: int, time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, out: str = "eddi", check: bool = False) -> DataFrame:
     """Evaporative demand drought index: the rank among the calibration years of the period, as a normal value.
 
-    A calibration period outside the data is an error when years are checked with `check_calibration`; here it has no rows.
+    A calibration period outside the data is an error with `check`; otherwise its missing years are no part of the ranks.
     """
     check_scale(scale)
+    if check:
+        check_series(df, keys, scale, time, calibration)
     dense = clip_negative(densify(df, keys, time, (value,), periodicity), keys, value)
     summed = trailing_sum(dense, keys, value, scale)
-    inside = F.lit(True) if calibration is None else F.col("year").between(*calibration)
-    summed = summed.withColumn("_c", F.collect_list(F.when(inside, F.col(value))).over(by_keys(keys, "period")))
-    n = F.size("_c")
-    p = (climatology_rank(F.col(value), F.col("_c")) - 0.33) / (n + 0.33)
-    z = F.when(F.col(value).isNotNull() & (n >= 2), bounded(hastings(p)))
+    summed = climatology_rank(summed, keys, value, F.lit(True) if calibration is None else F.col("year").between(*calibration))
+    p = (F.col("_rank") - 0.33) / (F.col("_n") + 0.33)
+    z = F.when(F.col(value).isNotNull() & (F.col("_n") >= 2), bounded(hastings(p)))
     return _finish(summed.withColumn(out, z), keys, time, [out], periodicity)
 
 
+def check_series(df: DataFrame, keys: list[str], scale: int, time: str, calibration: tuple[int, int] | None = None) -> None:
+    """What `check=True` asks for: enough steps, no time twice, a calibration period within the data; two small aggregates."""
+    check_frame(df, *keys, time)
+    require(df, keys, scale, time)
+    if calibration is not None:
+        check_calibration(df, time, *calibration)
+
+
 def check_calibration(df: DataFrame, time: str, first: int, last: int) -> None:
     """Raises unless the calibration period lies in the data; runs one small aggregate."""
     low, high = df.agg(F.min(F.year(time)), F.max(F.year(time))).first()
@@ -124,9 +149,25 @@ def check_calibration(df: DataFrame, time: str, first: int, last: int) -> None:
         raise InvalidArgument(f"calibration {first}-{last} is not within the data {low}-{high}", "calibration", (first, last))
 
 
-def pnp(df: DataFrame, keys: list[str], scale: int, time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, mode: str = "ratio", out: str = "pnp") -> DataFrame:
-    """Trailing sum over its mean in the calibration years: 1 is normal (100 with mode="percent")."""
+def check_normals(df: DataFrame, keys: list[str], time: str, first: int, last: int) -> None:
+    """Raises if the calibration starts before the data, or a cell has fewer steps than it has months; one aggregate."""
+    low, steps = df.groupBy(*keys).agg(F.min(F.year(time)).alias("low"), F.count("*").alias("n")).agg(F.min("low"), F.min("n")).first()
+    if low is None or first < low:
+        raise InvalidArgument(f"calibration starts in {first}, before the data ({low})", "calibration", (first, last), f"from {low} on")
+    if (last - first + 1) * 12 > steps:
+        raise InvalidArgument(f"calibration {first}-{last} has more months than a cell has steps ({steps})", "calibration", (first, last))
+
+
+def pnp(df: DataFrame, keys: list[str], scale: int, time: str = "time", value: str = "value", periodicity: str | Periodicity = "monthly", calibration: tuple[int, int] | None = None, mode: str = "ratio", out: str = "pnp", check: bool = False) -> DataFrame:
+    """Trailing sum over its mean in the calibration years: 1 is normal (100 with mode="percent").
+
+    `check` raises for too short series, repeated times, and a calibration that starts before the data or is longer than it.
+    """
     check_scale(scale)
+    if check:
+        check_series(df, keys, scale, time)
+        if calibration is not None:
+            check_normals(df, keys, time, *calibration)
     summed = trailing_sum(densify(df, keys, time, (value,), periodicity), keys, value, scale)
     inside = F.lit(True) if calibration is None else F.col("year").between(*calibration)
     normal = F.avg(F.when(inside, F.col(value))).over(by_keys(keys, "period"))

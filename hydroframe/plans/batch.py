@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import time as clock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from hydroframe.errors import InvalidArgument
 from hydroframe.operators import fitting, indices, palmer, pet, series
 from hydroframe.sources import tables
 
+LOG = logging.getLogger(__name__)
 CHOICES = ["spi", "spei", "pnp", "eddi", "scaled", "pet", "palmers", "all"]
 
 
@@ -32,6 +35,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--save_params")
     p.add_argument("--load_params")
+    p.add_argument("--names", default="padded", choices=["padded", "month"], help="spi_gamma_03 or spi_gamma_3_month")
+    p.add_argument("--separate", action="store_true", help="the four Palmer variables as tables of their own")
+    p.add_argument("--files", type=int, help="files to write for each table")
+    p.add_argument("--partition_by", nargs="*", help="columns to partition the tables by")
+    p.add_argument("--check", action="store_true", help="look for short series, repeated times and calibrations outside the data first")
     return p
 
 
@@ -65,19 +73,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     if args.index not in ("pet", "palmers") and not args.scales:
         raise InvalidArgument("--scales are needed", "scales")
     every = args.index == "all"
+    named = lambda *x: tables.variable_name(*x, style=args.names)
     water = have["precip"].join(have["pet"], [*keys, time]) if have["precip"] is not None and have["pet"] is not None else None
     out: dict[str, DataFrame] = {}
     for scale in args.scales:
         for kind in args.distributions:
             if args.index in ("spi", "scaled") or every:
                 params = tables.load_params(spark, args.load_params, kind).where(F.col("accumulation") == scale) if args.load_params else None
-                out[tables.variable_name("spi", kind, scale)] = indices.spi(have["precip"], keys, scale, kind, time, "precip", args.periodicity, calibration, params)
+                out[named("spi", kind, scale)] = indices.spi(have["precip"], keys, scale, kind, time, "precip", args.periodicity, calibration, params, check=args.check)
             if args.index in ("spei", "scaled") or every:
-                out[tables.variable_name("spei", kind, scale)] = indices.spei(water, keys, scale, kind, time, "precip", "pet", args.periodicity, calibration)
+                out[named("spei", kind, scale)] = indices.spei(water, keys, scale, kind, time, "precip", "pet", args.periodicity, calibration, check=args.check)
         if args.index in ("pnp", "scaled") or every:
-            out[tables.variable_name("pnp", None, scale)] = indices.pnp(have["precip"], keys, scale, time, "precip", args.periodicity, calibration)
+            out[named("pnp", None, scale)] = indices.pnp(have["precip"], keys, scale, time, "precip", args.periodicity, calibration, check=args.check)
         if args.index == "eddi":
-            out[tables.variable_name("eddi", None, scale)] = indices.eddi(have["pet"], keys, scale, time, "pet", args.periodicity, calibration)
+            out[named("eddi", None, scale)] = indices.eddi(have["pet"], keys, scale, time, "pet", args.periodicity, calibration, check=args.check)
     if args.index == "pet":
         out["pet_thornthwaite"] = have["pet"]
     if args.index == "palmers" or every:
@@ -87,10 +96,24 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     if args.save_params and args.index in ("spi", "scaled", "all"):
         tables.save_params(fit(have["precip"], keys, args.scales, time, "precip", args.periodicity, calibration), args.save_params, args.overwrite)
     for name, df in out.items():
-        tables.write_index(df, f"{args.out}/{name}", overwrite=args.overwrite)
+        four = {"pdsi": "pdsi", "phdi": "phdi", "pmdi": "pmdi", "z": "zindex"} if name == "palmer" and args.separate else {}
+        for part, table in {c: df.select(*keys, time, c) for c in four}.items() if four else [(name, df)]:
+            _write(table, four.get(part, name), args)
     return out
 
 
+def _write(df: DataFrame, name: str, args: argparse.Namespace) -> None:
+    """One line in the log when a table is begun, and one when it is done or has failed."""
+    began = clock.time()
+    LOG.info("%s: begun", name)
+    try:
+        tables.write_index(df, f"{args.out}/{name}", args.partition_by, args.overwrite, args.files, name)
+    except Exception:
+        LOG.exception("%s: failed after %.1f s", name, clock.time() - began)
+        raise
+    LOG.info("%s: done in %.1f s", name, clock.time() - began)
+
+
 def fit(df: DataFrame, keys: list[str], scales: list[int], time: str = "time", value: str = "value", periodicity: str = "monthly", calibration: tuple[int, int] | None = None) -> DataFrame:
     """All parameters of all scales in one table, by keys, period and `accumulation`."""
     dense = series.clip_negative(series.densify(df, keys, time, (value,), periodicity), keys, value)

@@ -1,7 +1,8 @@
 """Every operator as a query over the driver's tables, with the SQL that gives the same rows.
 
-There are no climate tables there, so others stand in: the monthly sum of l_quantity by l_linenumber for precipitation, a
-linear form of it for temperature, and the monthly sum of o_totalprice for evaporative demand.
+There are no climate tables there, so others stand in: the monthly sum of l_quantity for precipitation, by supplier, or by
+l_linenumber where cells need a place or a water balance; a linear form of it for temperature, and the monthly sum of
+o_totalprice for evaporative demand.
 """
 
 from __future__ import annotations
@@ -34,11 +35,15 @@ def query(sql: str | None = None):
 # Stand-in tables ---------------------------------------------------------------------------------------------------
 
 
-def rain(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").alias("cell"), F.trunc("l_shipdate", "month").alias("time"), "l_quantity")
+def rain(spark: SparkSession, sf: str, by: str = "l_suppkey") -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col(by).alias("cell"), F.trunc("l_shipdate", "month").alias("time"), "l_quantity")
     return rows.groupBy("cell", "time").agg(F.sum("l_quantity").alias("value"))
 
 
+def rain_by_line(spark: SparkSession, sf: str) -> DataFrame:
+    return rain(spark, sf, "l_linenumber")
+
+
 def demand(spark: SparkSession, sf: str) -> DataFrame:
     """One series for all cells, of about the size of the rain."""
     rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.trunc("o_orderdate", "month").alias("time"), "o_totalprice")
@@ -46,18 +51,10 @@ def demand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def water(spark: SparkSession, sf: str) -> DataFrame:
-    return rain(spark, sf).withColumnRenamed("value", "prcp").join(F.broadcast(demand(spark, sf)), "time")  # a row for each month
+    return rain_by_line(spark, sf).withColumnRenamed("value", "prcp").join(F.broadcast(demand(spark, sf)), "time")  # a row for each month
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Rain of every day of 1996-2000, 0 on days without rows."""
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate >= '1996-01-01' and l_shipdate < '2001-01-01'").select(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time"), "l_quantity")
-    sums = rows.groupBy("cell", "time").agg(F.sum("l_quantity").alias("value"))
-    days = rows.select("cell").distinct().withColumn("time", F.explode(F.expr("sequence(date '1996-01-01', date '2000-12-31')")))
-    return days.join(sums, ["cell", "time"], "left").fillna(0.0, ["value"])
-
-
-def daily_all(spark: SparkSession, sf: str) -> DataFrame:
     """Rain of every day of each cell's years, from its first to its last, 0 on days without rows."""
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time"), "l_quantity")
     sums = rows.groupBy("cell", "time").agg(F.sum("l_quantity").alias("value"))
@@ -72,10 +69,10 @@ def site(df: DataFrame) -> DataFrame:
 
 def inches(spark: SparkSession, sf: str) -> DataFrame:
     """Rain and demand as a few inches a month, with seasons and lasting swings so that spells come and go."""
-    rows = site(rain(spark, sf).withColumn("n", F.sum("value").over(series.by_keys(["cell"])) / F.count("value").over(series.by_keys(["cell"]))))
+    rows = site(rain_by_line(spark, sf).withColumn("n", F.sum("value").over(series.by_keys(["cell"])) / F.count("value").over(series.by_keys(["cell"]))))
     month, year = F.month("time"), F.year("time")
     prcp = F.col("value") / F.col("n") * 2.0 + F.when((year * 7 + F.col("cell")) % 3 == 0, -0.9).when((year + F.col("cell")) % 3 == 1, 0.8).otherwise(0.0)
-    return rows.select("cell", "time", "lat", "awc", F.round(F.greatest(prcp, F.lit(0.0)), 6).alias("prcp"), (F.lit(3.2) - F.abs(month - 7) * 0.45).alias("pet"))
+    return rows.select("cell", "time", "lat", "awc", F.greatest(prcp, F.lit(0.0)).alias("prcp"), (F.lit(3.2) - F.abs(month - 7) * 0.45).alias("pet"))
 
 
 def days_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,11 +89,12 @@ DAYS = """(SELECT l_orderkey, l_linenumber, l_quantity / 2 - 5 AS tmin, l_quanti
  l_suppkey % 30 * 100.0 AS elev, l_tax * 500 + 30 AS rh_min, l_tax * 500 + 55 AS rh_max, l_quantity / 4 AS rn, l_discount * 2 AS g, l_tax * 50 + 0.5 AS u2,
  l_suppkey % 120 - 59.5 AS lat, dayofyear(l_shipdate) AS day FROM lineitem)"""
 
-RAIN = """raw AS (SELECT l_linenumber AS cell, year(l_shipdate)::INT AS y, month(l_shipdate)::INT AS m, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+RAIN = """raw AS (SELECT l_suppkey AS cell, year(l_shipdate)::INT AS y, month(l_shipdate)::INT AS m, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 span AS (SELECT cell, min(y) AS y0, max(y) AS y1, max(y * 12 + m) AS fin FROM raw GROUP BY cell),
 grid AS (SELECT cell, y0, fin, unnest(range(y0 * 12, y1 * 12 + 12)) AS s FROM span),
 slots AS (SELECT cell, (s // 12)::INT AS y, (s % 12 + 1)::INT AS m, (s - y0 * 12)::INT AS idx, s + 1 > fin AS pad FROM grid),
 d AS (SELECT slots.*, raw.v FROM slots LEFT JOIN raw USING (cell, y, m))"""
+RAIN_BY_LINE = RAIN.replace("l_suppkey", "l_linenumber")
 DEMAND = "e AS (SELECT year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, floor(sum(floor(o_totalprice)) / 10000) AS pet FROM orders GROUP BY ALL)"
 TIME = "make_date(y, m, 1) AS time"
 
@@ -153,9 +151,9 @@ def trailing_sum(spark: SparkSession, sf: str) -> DataFrame:
     return series.trim(series.trailing_sum(series.densify(rain(spark, sf), K), K, "value", 3)).select("cell", "time", "value")
 
 
-@query(f"WITH {RAIN}, x AS (SELECT *, v - 900 AS u FROM d) SELECT cell, {TIME}, CASE WHEN count(CASE WHEN u IS NULL AND NOT pad THEN 1 END) OVER (PARTITION BY cell) = 0 AND u < 0 THEN 0 ELSE u END AS value FROM x WHERE NOT pad")
+@query(f"WITH {RAIN}, x AS (SELECT *, v - 60 AS u FROM d) SELECT cell, {TIME}, CASE WHEN count(CASE WHEN u IS NULL AND NOT pad THEN 1 END) OVER (PARTITION BY cell) = 0 AND u < 0 THEN 0 ELSE u END AS value FROM x WHERE NOT pad")
 def clip_negative(spark: SparkSession, sf: str) -> DataFrame:
-    dense = series.densify(rain(spark, sf).withColumn("value", F.col("value") - 900), K)
+    dense = series.densify(rain(spark, sf).withColumn("value", F.col("value") - 60), K)
     return series.trim(series.clip_negative(dense, K, "value")).select("cell", "time", "value")
 
 
@@ -167,9 +165,8 @@ def period_normals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RAIN}, {DEMAND} SELECT cell, {TIME}, v AS prcp, pet FROM raw JOIN e USING (y, m)")
 def align_inner(spark: SparkSession, sf: str) -> DataFrame:
-    cells = rain(spark, sf).select("cell").distinct()
-    other = cells.join(F.broadcast(demand(spark, sf)), how="cross")  # one row a month
-    return series.align(rain(spark, sf).withColumnRenamed("value", "prcp"), other, K).select("cell", "time", "prcp", "pet")
+    """One series for all cells, so that the time alone is what both have."""
+    return series.align(rain(spark, sf).withColumnRenamed("value", "prcp"), demand(spark, sf), []).select("cell", "time", "prcp", "pet")
 
 
 @query(f"WITH {RAIN}, {DEMAND} SELECT (SELECT count(*) FROM raw ANTI JOIN e USING (y, m)) AS only_left, (SELECT count(*) FROM e ANTI JOIN raw USING (y, m)) AS only_right")
@@ -183,10 +180,10 @@ def snap_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return series.snap(s, ["s_acctbal"], {"s_acctbal": 0.5}).select("s_suppkey", "s_acctbal_snap")
 
 
-@query("SELECT n_regionkey AS k, 'a' AS only_in FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3) GROUP BY 1")
+@query("SELECT c_custkey AS k, 'a' AS only_in FROM customer ANTI JOIN orders ON c_custkey = o_custkey UNION SELECT o_custkey, 'b' FROM orders ANTI JOIN customer ON c_custkey = o_custkey")
 def same_coordinates(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_regionkey").alias("k"))
-    return series.same_coordinates(a, spark.read.parquet(f"{sf}/region.parquet").where("r_regionkey < 3").select(F.col("r_regionkey").alias("k")), ["k"])
+    a, b = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey")))
+    return series.same_coordinates(a, b, ["k"])
 
 
 @query("""SELECT DISTINCT l_shipdate::DATE AS time, (dayofyear(l_shipdate) + CASE WHEN dayofyear(l_shipdate) >= 60 AND NOT (year(l_shipdate) % 4 = 0 AND (year(l_shipdate) % 100 <> 0 OR year(l_shipdate) % 400 = 0)) THEN 1 ELSE 0 END)::INT AS period, l_shipdate::DATE AS back FROM lineitem""")
@@ -196,25 +193,15 @@ def calendar_366(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("time", period.cast("int").alias("period"), calendar.date_of(F.year("time"), period, calendar.Periodicity.daily).alias("back"))
 
 
-@query("""WITH q AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, sum(l_quantity) AS v FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '2001-01-01' GROUP BY ALL),
-g AS (SELECT cell, unnest(range(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 1 DAY))::DATE AS t FROM (SELECT DISTINCT cell FROM q)),
-f AS (SELECT cell, t, coalesce(v, 0) AS v FROM g LEFT JOIN q USING (cell, t))
-SELECT a.cell, year(a.t)::INT AS year, (a.v + b.v) / 2 AS value FROM f a JOIN f b ON a.cell = b.cell AND b.t = a.t + 1 WHERE month(a.t) = 2 AND day(a.t) = 28 AND month(b.t) = 3""")
-def invented_leap_days(spark: SparkSession, sf: str) -> DataFrame:
-    dense = series.densify(daily(spark, sf), K, periodicity="daily")
-    return dense.where((F.col("period") == 60) & ~calendar.is_leap(F.col("year"))).select("cell", "year", "value")
+#: Rain of every day of each cell's years, from its first to its last, 0 on days without rows.
+DAILY = """q AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+g AS (SELECT cell, unnest(range(make_date(y0, 1, 1), make_date(y1 + 1, 1, 1), INTERVAL 1 DAY))::DATE AS t FROM (SELECT cell, min(year(t))::INT AS y0, max(year(t))::INT AS y1 FROM q GROUP BY cell)),
+f AS (SELECT cell, t, coalesce(v, 0) AS v, dayofyear(make_date(year(t), 12, 31)) AS n FROM g LEFT JOIN q USING (cell, t))"""
 
 
-def _all_years(sql: str) -> str:
-    """The SQL of a daily query over each cell's own years."""
-    days = "SELECT cell, unnest(range(make_date(y0, 1, 1), make_date(y1 + 1, 1, 1), INTERVAL 1 DAY))::DATE AS t FROM (SELECT cell, min(year(t))::INT AS y0, max(year(t))::INT AS y1 FROM q GROUP BY cell)"
-    fixed = "SELECT cell, unnest(range(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 1 DAY))::DATE AS t FROM (SELECT DISTINCT cell FROM q)"
-    return sql.replace(" WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '2001-01-01'", "").replace(fixed, days)
-
-
-@query(_all_years(ORACLES["invented_leap_days"]))
-def invented_leap_days_all(spark: SparkSession, sf: str) -> DataFrame:
-    dense = series.densify(daily_all(spark, sf), K, periodicity="daily")
+@query(f"WITH {DAILY} SELECT a.cell, year(a.t)::INT AS year, (a.v + b.v) / 2 AS value FROM f a JOIN f b ON a.cell = b.cell AND b.t = a.t + 1 WHERE month(a.t) = 2 AND day(a.t) = 28 AND month(b.t) = 3")
+def invented_leap_days(spark: SparkSession, sf: str) -> DataFrame:
+    dense = series.densify(daily(spark, sf), K, periodicity="daily")
     return dense.where((F.col("period") == 60) & ~calendar.is_leap(F.col("year"))).select("cell", "year", "value")
 
 
@@ -229,23 +216,19 @@ def pnp(spark: SparkSession, sf: str) -> DataFrame:
 HASTINGS_SQL = lambda p: f"CASE WHEN {p} <= 0.5 THEN -1 ELSE 1 END * (sqrt(-2 * ln(least({p}, 1 - {p}))) - {horner(f'sqrt(-2 * ln(least({p}, 1 - {p})))', expr.HASTINGS[0])} / {horner(f'sqrt(-2 * ln(least({p}, 1 - {p})))', expr.HASTINGS[1])})"
 
 
-@query(f"""WITH {RAIN}, {DEMAND}, dd AS (SELECT DISTINCT 1 AS cell, d.y, d.m, d.idx, (d.y * 12 + d.m) > (SELECT max(y * 12 + m) FROM e) AS pad FROM d WHERE d.cell = 1 AND d.y <= (SELECT max(y) FROM e)),
-de AS (SELECT dd.*, pet AS v FROM dd LEFT JOIN e USING (y, m)), {sums_sql(2, source="de")},
-r AS (SELECT a.*, (SELECT count(*) FROM s b WHERE b.m = a.m AND b.v < a.v AND b.{CALIB}) AS k, (SELECT count(b.v) FROM s b WHERE b.m = a.m AND b.{CALIB}) AS n FROM s a),
+@query(f"""WITH {RAIN}, {sums_sql(2)},
+r AS (SELECT a.*, (SELECT count(*) FROM s b WHERE b.cell = a.cell AND b.m = a.m AND b.v < a.v AND b.{CALIB}) AS k, (SELECT count(b.v) FROM s b WHERE b.cell = a.cell AND b.m = a.m AND b.{CALIB}) AS n FROM s a),
 p AS (SELECT *, least(greatest((1 + k - 0.33) / (n + 0.33), 1e-10), 1 - 1e-10) AS p FROM r)
-SELECT 1 AS cell, {TIME}, CASE WHEN v IS NOT NULL AND n >= 2 THEN {clip_sql(HASTINGS_SQL("p"))} END AS eddi FROM p WHERE NOT pad""")
+SELECT cell, {TIME}, CASE WHEN v IS NOT NULL AND n >= 2 THEN {clip_sql(HASTINGS_SQL("p"))} END AS eddi FROM p WHERE NOT pad""")
 def eddi(spark: SparkSession, sf: str) -> DataFrame:
-    rows = demand(spark, sf).select(F.lit(1).alias("cell"), "time", F.col("pet").alias("value"))
-    return rounded(indices.eddi(rows, K, 2, calibration=YEARS), "eddi")
+    return rounded(indices.eddi(rain(spark, sf), K, 2, calibration=YEARS), "eddi")
 
 
 def _pci_sql(reference: bool) -> str:
     months = "".join(f", sum(CASE WHEN month(t) = {k} THEN v ELSE 0 END) AS m{k}" for k in range(1, 13))
     lead = ", sum(CASE WHEN dayofyear(t) > (CASE WHEN n = 366 THEN 29 ELSE 28 END) AND month(t) <= 3 THEN v ELSE 0 END) AS x" if reference else ""
     terms = ["m1", "x", *[f"m{k}" for k in range(4, 13)]] if reference else [f"m{k}" for k in range(1, 13)]
-    return f"""WITH q AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, sum(l_quantity) AS v FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '2001-01-01' GROUP BY ALL),
-g AS (SELECT cell, unnest(range(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 1 DAY))::DATE AS t FROM (SELECT DISTINCT cell FROM q)),
-f AS (SELECT cell, t, coalesce(v, 0) AS v, dayofyear(make_date(year(t), 12, 31)) AS n FROM g LEFT JOIN q USING (cell, t)),
+    return f"""WITH {DAILY},
 s AS (SELECT cell, year(t)::INT AS year{months}{lead} FROM f GROUP BY ALL)
 SELECT cell, year, round(({' + '.join(f'{a} * {a}' for a in terms)}) / (({' + '.join(terms)}) * ({' + '.join(terms)})) * 100, {DIGITS}) AS pci FROM s"""
 
@@ -260,16 +243,6 @@ def pci_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(indices.pci(daily(spark, sf), K, mode="calendar"), "pci")
 
 
-@query(_all_years(_pci_sql(True)))
-def pci_reference_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(indices.pci(daily_all(spark, sf), K), "pci")
-
-
-@query(_all_years(_pci_sql(False)))
-def pci_calendar_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(indices.pci(daily_all(spark, sf), K, mode="calendar"), "pci")
-
-
 def _summed(spark: SparkSession, sf: str, scale: int = 3, less: float = 0.0) -> DataFrame:
     df = rain(spark, sf).withColumn("value", F.greatest(F.col("value") - less, F.lit(0.0)))
     return series.trailing_sum(series.densify(df, K), K, "value", scale)
@@ -285,14 +258,14 @@ def gamma_params(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("cell", "period", F.round("alpha", 3).alias("alpha"), F.round("beta", 5).alias("beta"), F.round("prob_zero_gamma", 6).alias("prob_zero_gamma"))
 
 
-@query(f"WITH {RAIN}, {_less(2000)}, {sums_sql(1, source='dz')}, {GAMMA_PARAMS} SELECT cell, m AS period, round(p0, 6) AS prob_zero FROM g")
+@query(f"WITH {RAIN}, {_less(150)}, {sums_sql(1, source='dz')}, {GAMMA_PARAMS} SELECT cell, m AS period, round(p0, 6) AS prob_zero FROM g")
 def prob_zero_gamma(spark: SparkSession, sf: str) -> DataFrame:
-    return fitting.gamma_fit(_summed(spark, sf, 1, 2000.0), K, calibration=YEARS).select("cell", "period", F.round("prob_zero_gamma", 6).alias("prob_zero"))
+    return fitting.gamma_fit(_summed(spark, sf, 1, 150.0), K, calibration=YEARS).select("cell", "period", F.round("prob_zero_gamma", 6).alias("prob_zero"))
 
 
-@query(f"WITH {RAIN}, {_less(2000)} SELECT cell, m AS period, round(CASE WHEN count(CASE WHEN v = 0 THEN 1 END) > 0 THEN count(CASE WHEN v = 0 THEN 1 END) / count(v) END, 6) AS prob_zero FROM dz WHERE {CALIB} GROUP BY cell, m")
+@query(f"WITH {RAIN}, {_less(150)} SELECT cell, m AS period, round(CASE WHEN count(CASE WHEN v = 0 THEN 1 END) > 0 THEN count(CASE WHEN v = 0 THEN 1 END) / count(v) END, 6) AS prob_zero FROM dz WHERE {CALIB} GROUP BY cell, m")
 def prob_zero_pearson(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fitting.zero_share(_summed(spark, sf, 1, 2000.0), K, calibration=YEARS), "prob_zero", digits=6)
+    return rounded(fitting.zero_share(_summed(spark, sf, 1, 150.0), K, calibration=YEARS), "prob_zero", digits=6)
 
 
 def _gamma_sql(sum_steps: str, out: str) -> str:
@@ -307,7 +280,7 @@ def spi_gamma(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(indices.spi(rain(spark, sf), K, 3, calibration=YEARS), "spi")
 
 
-SPEI_STEPS = f"{RAIN}, {DEMAND}, w AS (SELECT raw.cell, raw.y, raw.m, raw.v, pet FROM raw JOIN e USING (y, m)), sp2 AS (SELECT cell, min(y) AS y0, max(y) AS y1, max(y * 12 + m) AS fin FROM w GROUP BY cell), gr2 AS (SELECT cell, y0, fin, unnest(range(y0 * 12, y1 * 12 + 12)) AS s FROM sp2), sl2 AS (SELECT cell, (s // 12)::INT AS y, (s % 12 + 1)::INT AS m, (s - y0 * 12)::INT AS idx, s + 1 > fin AS pad FROM gr2), dw AS (SELECT sl2.*, w.v - w.pet + 1000.0 AS v FROM sl2 LEFT JOIN w USING (cell, y, m)), {sums_sql(3, source='dw')}"
+SPEI_STEPS = f"{RAIN_BY_LINE}, {DEMAND}, w AS (SELECT raw.cell, raw.y, raw.m, raw.v, pet FROM raw JOIN e USING (y, m)), sp2 AS (SELECT cell, min(y) AS y0, max(y) AS y1, max(y * 12 + m) AS fin FROM w GROUP BY cell), gr2 AS (SELECT cell, y0, fin, unnest(range(y0 * 12, y1 * 12 + 12)) AS s FROM sp2), sl2 AS (SELECT cell, (s // 12)::INT AS y, (s % 12 + 1)::INT AS m, (s - y0 * 12)::INT AS idx, s + 1 > fin AS pad FROM gr2), dw AS (SELECT sl2.*, w.v - w.pet + 1000.0 AS v FROM sl2 LEFT JOIN w USING (cell, y, m)), {sums_sql(3, source='dw')}"
 
 
 @query(_gamma_sql(SPEI_STEPS, "spei"))
@@ -322,7 +295,7 @@ l AS (SELECT cell, m, n, n_zero, b0 AS l1, 2 * b1 - b0 AS l2, (6 * b2 - 6 * b1 +
 _C, _D = expr.PEARSON_NEAR, expr.PEARSON_FAR
 PEARSON = f"""{LMOMENTS}, h AS (SELECT *, abs(t3) AS q, 3 * pi() * t3 * t3 AS u, 1 - abs(t3) AS w FROM l),
 k AS (SELECT *, CASE WHEN q < 0.333333333 THEN (1 + {_C[0]} * u) / (u * (1 + u * ({_C[1]} + u * {_C[2]}))) ELSE w * ({_D[0]} + w * ({_D[1]} + w * {_D[2]})) / (1 + w * ({_D[3]} + w * ({_D[4]} + w * {_D[5]}))) END AS a FROM h),
-pf AS (SELECT cell, m, CASE WHEN n - n_zero >= 4 AND l2 > 0 AND q < 1 THEN 1 ELSE 0 END AS ok, n_zero / n AS p0, l1, sqrt(pi()) * l2 * exp(lgamma(a) - lgamma(a + 0.5)) * sqrt(a) AS sc, sign(t3) * 2 / sqrt(a) AS sk FROM k),
+pf AS (SELECT cell, m, CASE WHEN n - n_zero >= 4 AND l2 > 0 AND q < 1 THEN 1 ELSE 0 END AS ok, n_zero / n AS p0, l1, CASE WHEN q <= 1e-6 THEN sqrt(pi()) * l2 ELSE sqrt(pi()) * l2 * exp(lgamma(a) - lgamma(a + 0.5)) * sqrt(a) END AS sc, CASE WHEN q <= 1e-6 THEN 0 ELSE sign(t3) * 2 / sqrt(a) END AS sk FROM k),
 pp AS (SELECT cell, m, CASE WHEN ok = 1 THEN p0 ELSE 0 END AS prob_zero, CASE WHEN ok = 1 THEN l1 ELSE 0 END AS loc, CASE WHEN ok = 1 THEN sc ELSE 0 END AS scale, CASE WHEN ok = 1 THEN sk ELSE 0 END AS skew FROM pf)"""
 
 
@@ -345,9 +318,9 @@ f AS (SELECT *, {f} AS f FROM j), p AS (SELECT *, CASE WHEN f IS NOT NULL AND v
 SELECT cell, {TIME}, {clip_sql(ppf_sql("p"), 3)} AS {out} FROM p WHERE NOT pad"""
 
 
-@query(_pearson_sql(f"{RAIN}, {sums_sql(3)}", "spi"))
+@query(_pearson_sql(f"{RAIN_BY_LINE}, {sums_sql(3)}", "spi"))
 def spi_pearson(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(indices.spi(rain(spark, sf), K, 3, "pearson", calibration=YEARS), "spi", digits=3)
+    return rounded(indices.spi(rain_by_line(spark, sf), K, 3, "pearson", calibration=YEARS), "spi", digits=3)
 
 
 @query(_pearson_sql(SPEI_STEPS, "spei"))
@@ -473,38 +446,31 @@ def kth_percentile(spark: SparkSession, sf: str) -> DataFrame:
 # Evapotranspiration ------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {RAIN}, {sums_sql(3)}, {GAMMA_PARAMS}, j AS (SELECT cell, m, v, alpha, beta, row_number() OVER (PARTITION BY cell, m ORDER BY v) AS i, count(*) OVER (PARTITION BY cell, m) AS n FROM s JOIN g USING (cell, m) WHERE v > 0 AND {CALIB}),
+f AS (SELECT cell, m, n, i, CASE WHEN alpha IS NOT NULL THEN {lower_gamma_sql('alpha', '(v / beta)')} END AS f FROM j),
+k AS (SELECT cell, m, n, max(greatest(i / n - f, f - (i - 1) / n)) AS d FROM f GROUP BY ALL)
+SELECT cell, m AS period, n::INT AS n, round(d, 6) AS statistic, round(1.358 / sqrt(n), 6) AS critical, coalesce(d > 1.358 / sqrt(n), false) AS poor FROM k""")
 def goodness_of_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return diagnostics.goodness_of_fit(_summed(spark, sf), K, calibration=YEARS)
+    return rounded(diagnostics.goodness_of_fit(_summed(spark, sf), K, calibration=YEARS), "statistic", "critical", digits=6)
 
 
-@query(f"""WITH {RAIN}, x AS (SELECT cell, y, m, idx, pad, greatest((v - 1000) / 100, 0) AS t FROM d),
+@query(f"""WITH {RAIN_BY_LINE}, x AS (SELECT cell, y, m, idx, pad, greatest((v - 1000) / 100, 0) AS t FROM d),
 c AS (SELECT cell, m, avg(t) AS a FROM x GROUP BY cell, m), h AS (SELECT cell, sum(pow(a / 5, 1.514)) AS i FROM c GROUP BY cell),
 dl AS (SELECT cell, yr, month(t) AS m, avg(24 / pi() * acos(least(greatest(-tan(radians(cell * 8.0 - 20)) * tan(0.409 * sin(2 * pi() / 365 * dayofyear(t) - 1.39)), -1.0), 1.0))) AS light, count(*) AS days
  FROM (SELECT cell FROM span) CROSS JOIN (SELECT yr, unnest(range(make_date(yr, 1, 1), make_date(yr + 1, 1, 1), INTERVAL 1 DAY))::DATE AS t FROM (VALUES (2000), (2001)) AS v(yr)) GROUP BY ALL)
 SELECT x.cell, make_date(x.y, x.m, 1) AS time, round(16 * light / 12 * days / 30 * pow(10 * t / i, 6.75e-07 * i * i * i - 7.71e-05 * i * i + 1.792e-02 * i + 0.49239), {DIGITS}) AS pet
 FROM x JOIN h USING (cell) JOIN dl ON dl.cell = x.cell AND dl.m = x.m AND dl.yr = CASE WHEN x.y % 4 = 0 THEN 2000 ELSE 2001 END WHERE NOT pad""".replace("greatest((v - 1000) / 100, 0)", "CASE WHEN v IS NOT NULL THEN greatest((v - 1000) / 100, 0) END"))
 def pet_thornthwaite(spark: SparkSession, sf: str) -> DataFrame:
-    rows = site(rain(spark, sf).withColumn("tavg", (F.col("value") - 1000) / 100))
+    rows = site(rain_by_line(spark, sf).withColumn("tavg", (F.col("value") - 1000) / 100))
     return rounded(pet.thornthwaite(rows, K, "lat"), "pet")
 
 
 _PLACE = "(dayofyear(t) + CASE WHEN dayofyear(t) >= 60 AND year(t) % 4 <> 0 THEN 1 ELSE 0 END)"
 
 
-@query(f"""WITH a AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, avg(l_quantity) - 20 AS tmin FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
-b AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, avg(l_quantity) + 10 AS tmax FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL)
-SELECT cell, t AS time, round(0.0023 * ((tmin + tmax) / 2 + 17.8) * sqrt(tmax - tmin) * 0.408 * {_RA.replace("radians(lat)", "radians(35.0)").replace("day", _PLACE).replace(_PLACE + "ofyear", "dayofyear")}, {DIGITS}) AS pet FROM a JOIN b USING (cell, t)""")
+@query(f"""WITH a AS (SELECT l_linenumber AS cell, l_shipdate::DATE AS t, avg(l_quantity) - 20 AS tmin, avg(l_quantity) + 10 AS tmax FROM lineitem GROUP BY ALL)
+SELECT cell, t AS time, round(0.0023 * ((tmin + tmax) / 2 + 17.8) * sqrt(tmax - tmin) * 0.408 * {_RA.replace("radians(lat)", "radians(35.0)").replace("day", _PLACE).replace(_PLACE + "ofyear", "dayofyear")}, {DIGITS}) AS pet FROM a""")
 def pet_hargreaves(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time")).agg(F.avg("l_quantity").alias("q"))
-    low = rows.where("cell <= 4").select("cell", "time", (F.col("q") - 20).alias("tmin"))
-    high = rows.where("cell >= 2").select("cell", "time", (F.col("q") + 10).alias("tmax"))
-    return rounded(pet.hargreaves_pet(low, high, K, 35.0), "pet")
-
-
-@query(ORACLES["pet_hargreaves"].replace(" WHERE l_linenumber <= 4", "").replace(" WHERE l_linenumber >= 2", ""))
-def pet_hargreaves_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every cell, where pet_hargreaves shows the alignment of unequal series by its cells 2-4."""
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("cell"), F.to_date("l_shipdate").alias("time")).agg(F.avg("l_quantity").alias("q"))
     low, high = rows.select("cell", "time", (F.col("q") - 20).alias("tmin")), rows.select("cell", "time", (F.col("q") + 10).alias("tmax"))
     return rounded(pet.hargreaves_pet(low, high, K, 35.0), "pet")
@@ -512,9 +478,9 @@ def pet_hargreaves_all(spark: SparkSession, sf: str) -> DataFrame:
 
 # Palmer ------------------------------------------------------------------------------------------------------------
 
-INCHES = f"""{RAIN}, mn AS (SELECT cell, sum(v) / count(v) AS n FROM raw GROUP BY cell),
+INCHES = f"""{RAIN_BY_LINE}, mn AS (SELECT cell, sum(v) / count(v) AS n FROM raw GROUP BY cell),
 inch AS (SELECT d.cell, y, m, idx, pad, cell * 0.5 + 2 AS awc,
- CASE WHEN v IS NOT NULL THEN round(greatest(v / n * 2 + CASE WHEN (y * 7 + cell) % 3 = 0 THEN -0.9 WHEN (y + cell) % 3 = 1 THEN 0.8 ELSE 0 END, 0), 6) END AS p,
+ CASE WHEN v IS NOT NULL THEN greatest(v / n * 2 + CASE WHEN (y * 7 + cell) % 3 = 0 THEN -0.9 WHEN (y + cell) % 3 = 1 THEN 0.8 ELSE 0 END, 0) END AS p,
  CASE WHEN v IS NOT NULL THEN 3.2 - abs(m - 7) * 0.45 END AS e FROM d JOIN mn USING (cell))"""
 BALANCE = """bal AS (
  SELECT cell, -1 AS idx, awc, 1.0::DOUBLE AS ss, greatest(awc - 1, 0)::DOUBLE AS su, 0::DOUBLE AS p, 0::DOUBLE AS e, 0::DOUBLE AS sp, 0::DOUBLE AS pl, 0::DOUBLE AS pr, 0::DOUBLE AS r, 0::DOUBLE AS tl, 0::DOUBLE AS et, 0::DOUBLE AS ro, 0 AS y, 0 AS m FROM (SELECT DISTINCT cell, awc FROM inch)
@@ -536,9 +502,9 @@ kk AS (SELECT db.cell, db.m, dbar, 1.5 * log10(((e + r + ro) / (p + tl) + 2.8) /
 kn AS (SELECT cell, sum(dbar * k) AS n FROM kk GROUP BY cell)"""
 
 
-@query(f"WITH RECURSIVE {INCHES}, {BALANCE} SELECT cell, y AS year, m AS period, " + ", ".join(f"round({c}, 4) AS {c}" for c in palmer.FLOWS) + " FROM bal WHERE idx >= 0")
+@query(f"WITH RECURSIVE {INCHES}, {BALANCE} SELECT cell, y AS year, m AS period, " + ", ".join(f"round({c}, 6) AS {c}" for c in palmer.FLOWS) + " FROM bal WHERE idx >= 0")
 def water_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(palmer.water_balance(inches(spark, sf), K).where("not pad").select("cell", "year", "period", *palmer.FLOWS), *palmer.FLOWS)
+    return rounded(palmer.water_balance(inches(spark, sf), K).where("not pad").select("cell", "year", "period", *palmer.FLOWS), *palmer.FLOWS, digits=6)
 
 
 @query(f"WITH RECURSIVE {INCHES}, {BALANCE}, {CAFEC} SELECT cell, m AS period, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(gamma, 6) AS gamma, round(delta, 6) AS delta FROM cc")
@@ -551,6 +517,41 @@ def palmer_z(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(palmer.palmer(inches(spark, sf), K, YEARS).select("cell", "time", "z"), "z")
 
 
+_M, _B = palmer.default_factors()
+#: The spell recursion month by month (st), then backwards what the open months became (bk), then the last queue (sl).
+#: `ev` says how a month ends: g the spell goes on, W1 and D1 one begins, W and D only one side is left, o it stays open.
+SPELLS = f"""zz AS MATERIALIZED (SELECT i.cell, i.y, i.m, i.idx, i.pad, 17.67 * kk.k / kn.n * dep.d AS z FROM inch i LEFT JOIN dep ON dep.cell = i.cell AND dep.idx = i.idx LEFT JOIN kk ON kk.cell = i.cell AND kk.m = i.m LEFT JOIN kn ON kn.cell = i.cell),
+st AS (
+ SELECT cell, -1 AS idx, 0::DOUBLE AS v, 0::DOUBLE AS ch, 0::DOUBLE AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS x3, 0::DOUBLE AS x, 0 AS q0, 0 AS q, '' AS ev FROM (SELECT DISTINCT cell FROM zz)
+ UNION ALL
+ SELECT cell, idx, nv, nch, CASE WHEN ev IN ('g', 'W1') THEN 0 ELSE g1 END, CASE WHEN ev IN ('g', 'W1', 'D1') THEN 0 ELSE g2 END,
+  CASE ev WHEN 'W1' THEN g1 WHEN 'D1' THEN g2 ELSE n3 END, CASE ev WHEN 'W1' THEN g1 WHEN 'W' THEN g1 WHEN 'D1' THEN g2 WHEN 'D' THEN g2 ELSE n3 END, q, CASE WHEN ev = 'o' THEN q + 1 ELSE 0 END, ev
+ FROM (SELECT *, CASE WHEN how = 'g' THEN 'g' WHEN n3 = 0 AND g1 >= 1 THEN 'W1' WHEN n3 = 0 AND g2 <= -1 THEN 'D1' WHEN n3 = 0 AND g1 <> 0 AND g2 = 0 THEN 'W' WHEN n3 = 0 AND g1 = 0 THEN 'D' ELSE 'o' END AS ev
+ FROM (SELECT *, CASE WHEN how = 'w' THEN w ELSE 0 END AS nv, CASE WHEN how = 'g' THEN sp WHEN how = 'w' THEN CASE WHEN nch >= 100 THEN 0 ELSE sp END ELSE 0 END AS n3, greatest(0, coalesce(up1, 0)) AS g1, least(0, coalesce(up2, 0)) AS g2
+ FROM (SELECT *, CASE WHEN how <> 'w' THEN 0 WHEN w / (need + CASE WHEN ch = 100 THEN 0 ELSE v END) * 100 >= 100 THEN 100 ELSE w / (need + CASE WHEN ch = 100 THEN 0 ELSE v END) * 100 END AS nch
+ FROM (SELECT *, CASE WHEN first = 'w' AND ((dry AND w <= 0) OR (NOT dry AND w >= 0)) THEN 'g' ELSE first END AS how, CASE WHEN dry THEN -{_B!r} * x3 - 0.5 * {_M + _B!r} ELSE -{_B!r} * x3 + 0.5 * {_M + _B!r} END AS need,
+  {_B!r} / {_M + _B!r} * x3 + z / {_M + _B!r} AS sp, {_B!r} / {_M + _B!r} * x1 + z / {_M + _B!r} AS up1, {_B!r} / {_M + _B!r} * x2 + z / {_M + _B!r} AS up2
+ FROM (SELECT *, CASE WHEN dry THEN z + 0.15 + greatest(v, 0) ELSE z - 0.15 + least(v, 0) END AS w
+ FROM (SELECT zz.cell, zz.idx, zz.z, v, ch, x1, x2, x3, q, CASE WHEN ch IN (0, 100) AND x3 BETWEEN -0.5 AND 0.5 THEN 'b' WHEN ch IN (0, 100) AND ((x3 > 0.5 AND z >= 0.15) OR (x3 < -0.5 AND z <= -0.15)) THEN 'g' ELSE 'w' END AS first,
+  coalesce(CASE WHEN ch IN (0, 100) THEN x3 < -0.5 ELSE x3 <= 0 END, false) AS dry FROM st JOIN zz ON zz.cell = st.cell AND zz.idx = st.idx + 1)))))) AS months),
+se AS MATERIALIZED (SELECT * FROM st WHERE idx >= 0),
+bk AS (
+ SELECT cell, max(idx) + 1 AS idx, 'N' AS md, NULL::DOUBLE AS val FROM se GROUP BY cell
+ UNION ALL
+ SELECT cell, idx, nmd, CASE WHEN ev <> 'o' THEN x WHEN nmd = 'S' THEN x3 WHEN nmd = 'W' THEN x1 WHEN nmd = 'D' THEN x2 END
+ FROM (SELECT se.*, CASE WHEN ev = 'g' THEN 'S' WHEN ev IN ('W1', 'W') THEN 'W' WHEN ev IN ('D1', 'D') THEN 'D' WHEN md = 'W' AND x1 = 0 THEN 'D' WHEN md = 'D' AND x2 = 0 THEN 'W' ELSE md END AS nmd FROM bk JOIN se ON se.cell = bk.cell AND se.idx = bk.idx - 1)),
+lq AS (SELECT cell, max(idx) AS fin, coalesce(max_by(q, idx) FILTER (WHERE ev = 'o'), 0) AS longest FROM se GROUP BY cell),
+sl AS (SELECT se.cell, se.q0, max(se.idx) AS idx FROM se JOIN lq ON lq.cell = se.cell WHERE se.q0 < lq.longest GROUP BY se.cell, se.q0),
+pv AS (SELECT se.cell, se.idx, se.x3 AS own, CASE WHEN sl.idx IS NULL THEN bk.val ELSE se.x END AS val, n.ch, n.x1, n.x2, n.x3 FROM se JOIN bk ON bk.cell = se.cell AND bk.idx = se.idx JOIN lq ON lq.cell = se.cell LEFT JOIN sl ON sl.cell = se.cell AND sl.idx = se.idx JOIN se n ON n.cell = se.cell AND n.idx = CASE WHEN sl.idx IS NULL THEN se.idx ELSE lq.fin END),
+pf AS (SELECT zz.cell, zz.y, zz.m, zz.z, val AS pdsi, CASE WHEN own = 0 THEN val ELSE own END AS phdi,
+ CASE WHEN x3 = 0 THEN CASE WHEN abs(x1) > abs(x2) THEN x1 ELSE x2 END WHEN ch <= 0 OR ch >= 100 THEN x3 ELSE (1 - ch / 100) * x3 + ch / 100 * CASE WHEN x3 <= 0 THEN x1 ELSE x2 END END AS pmdi
+ FROM pv JOIN zz ON zz.cell = pv.cell AND zz.idx = pv.idx WHERE NOT zz.pad)"""
+
+
+def _palmer_sql(*columns: str) -> str:
+    return f"WITH RECURSIVE {INCHES}, {BALANCE}, {CAFEC}, {ZED}, {SPELLS} SELECT cell, {TIME}, {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in columns)} FROM pf"
+
+
 def _palmer(column: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return rounded(palmer.palmer(inches(spark, sf), K, YEARS).select("cell", "time", column), column)
@@ -559,10 +560,10 @@ def _palmer(column: str):
 
 
 for _name in ("pdsi", "phdi", "pmdi"):
-    QUERIES[_name] = _palmer(_name)
+    QUERIES[_name], ORACLES[_name] = _palmer(_name), _palmer_sql(_name)
 
 
-@query()
+@query(_palmer_sql("pdsi", "phdi", "pmdi", "z"))
 def pdsi_given(spark: SparkSession, sf: str) -> DataFrame:
     """The Palmer indices with coefficients of an earlier run."""
     df = inches(spark, sf)
@@ -580,10 +581,23 @@ w AS (SELECT cell, CASE WHEN count(z) OVER k = 6 THEN sum(z) OVER k END AS s FRO
 a AS (SELECT cell, min(s) AS dry, list_sort(list(s)) AS l FROM w WHERE s IS NOT NULL GROUP BY cell)
 SELECT cell, round(coalesce(list_max(list_filter(l, lambda x: x > 0 AND x / l[floor(0.98 * len(l))::INT] < 1.25)), 0), 4) AS wet, round(dry, 4) AS dry FROM a""")
 def extreme_z_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.extreme_sums(zed(spark, sf), K, 6), "wet", "dry")
+    return rounded(calibration.extreme_sums(zed(spark, sf), K, (6,)).drop("length"), "wet", "dry")
+
 
+_SPELL_LENGTHS = ", ".join(f"({n})" for n in calibration.LENGTHS)
 
-@query()
+
+@query(f"""WITH {RAIN}, q AS (SELECT cell, y * 12 + m AS t, round(v - avg(v) OVER (PARTITION BY cell), 2) AS z FROM raw),
+c AS (SELECT cell, row_number() OVER k AS i, sum(z) OVER k AS c FROM q WINDOW k AS (PARTITION BY cell ORDER BY t)),
+w AS (SELECT a.cell, n.n, a.c - coalesce(b.c, 0) AS s FROM c a CROSS JOIN (VALUES {_SPELL_LENGTHS}) AS n(n) LEFT JOIN c b ON b.cell = a.cell AND b.i = a.i - n.n WHERE a.i >= n.n),
+l AS (SELECT cell, n, min(s) AS dry, list_sort(list(s)) AS l FROM w GROUP BY cell, n),
+e AS (SELECT cell, n, dry, coalesce(list_max(list_filter(l, lambda x: x > 0 AND x / l[floor(0.98 * len(l))::INT] < 1.25)), 0) AS wet FROM l),
+p AS (SELECT cell, 1 AS sign, n AS x, wet AS y, row_number() OVER (PARTITION BY cell ORDER BY n) AS i FROM e UNION ALL SELECT cell, -1, n, dry, row_number() OVER (PARTITION BY cell ORDER BY n) FROM e),
+r AS (SELECT cell, sign, k.k, regr_slope(y, x) AS slope, corr(y, x) AS r FROM p JOIN range(4, 11) AS k(k) ON i <= k.k GROUP BY ALL),
+b AS (SELECT cell, sign, coalesce(max(k) FILTER (WHERE sign * r >= 0.85), 4) AS k FROM r GROUP BY cell, sign),
+f AS (SELECT b.cell, b.sign, r.slope, max(b.sign * (y - slope * x)) AS far FROM b JOIN r ON r.cell = b.cell AND r.sign = b.sign AND r.k = b.k JOIN p ON p.cell = b.cell AND p.sign = b.sign AND p.i <= b.k GROUP BY ALL),
+o AS (SELECT cell, sign, slope / (4 * sign) AS m, CASE WHEN far > 0 THEN sign * far ELSE -slope * {calibration.LENGTHS[0]} END / (4 * sign) AS b FROM f)
+SELECT cell, round(max(m) FILTER (WHERE sign = 1), 4) AS wet_m, round(max(b) FILTER (WHERE sign = 1), 4) AS wet_b, round(max(m) FILTER (WHERE sign = -1), 4) AS dry_m, round(max(b) FILTER (WHERE sign = -1), 4) AS dry_b FROM o GROUP BY cell""")
 def duration_factors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(calibration.duration_factors(zed(spark, sf), K), "wet_m", "wet_b", "dry_m", "dry_b")
 
@@ -601,6 +615,20 @@ def effective_years(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.effective_years(series.densify(rain(spark, sf), K), K), "years", digits=6)
 
 
+@query(f"WITH {RAIN}, {_less(150)}, {sums_sql(1, source='dz')}, {PEARSON} SELECT cell, count(CASE WHEN scale = 0 AND skew = 0 THEN 1 END) AS failed, count(*) AS periods, round(count(CASE WHEN scale = 0 AND skew = 0 THEN 1 END) / count(*), 6) AS share FROM pp GROUP BY cell")
+def failed_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of periods without a Pearson fit, in series that are mostly 0."""
+    return rounded(fitting.failed_share(fitting.pearson_fit(_summed(spark, sf, 1, 150.0), K, calibration=YEARS), K), "share", digits=6)
+
+
+@query(f"WITH {RAIN}, {sums_sql(3)} SELECT cell, {TIME} FROM s WHERE v IS NULL AND y < 1996 AND NOT pad")
+def missing_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing input whose result isn't missing: here sums whose gaps before 1996 were filled."""
+    summed = series.trim(series.trailing_sum(series.densify(rain(spark, sf), K), K, "value", 3))
+    filled = summed.withColumn("filled", F.when(F.year("time") < 1996, F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
+    return diagnostics.missing_kept(summed, filled, ["cell", "time"], "value", "filled").select("cell", "time")
+
+
 @query(f"WITH {RAIN} SELECT cell, min(y) AS first_year, max(y) AS last_year, count(*) AS steps, 'monthly' AS periodicity FROM raw GROUP BY cell")
 def infer_parameters(spark: SparkSession, sf: str) -> DataFrame:
     return extend.infer(rain(spark, sf), K)
