@@ -10,7 +10,6 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_language_id": language_id.op5_language_id,
-    "op4_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_minhash": near_dedup.op7_minhash,
     "op8_warc": warc.op8_warc,
