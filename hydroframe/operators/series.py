@@ -110,6 +110,21 @@ def snap(df: DataFrame, columns: list[str], steps: dict[str, float]) -> DataFram
     return df.withColumns({f"{c}_snap": F.round(F.col(c) / (steps[c] / 10)).cast("long") for c in columns})
 
 
+def match_within(a: DataFrame, b: DataFrame, columns: list[str], tolerance: dict[str, float]) -> DataFrame:
+    """Rows of both whose coordinates differ by at most the tolerance each; those of `b` are named with `_other`.
+
+    Coordinates are dealt to cells of the tolerance's size; a row of `b` goes to its own cell and those beside it.
+    """
+    x, y = a, b.select(*[F.col(c).alias(f"{c}_other") for c in b.columns])
+    for c in columns:
+        x = x.withColumn(f"_{c}", F.floor(F.col(c) / tolerance[c]))
+        y = y.withColumn(f"_{c}", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> floor(`{c}_other` / {tolerance[c]!r}D) + d)")))
+    near = x.join(y, [f"_{c}" for c in columns])
+    for c in columns:
+        near = near.where(F.abs(F.col(c) - F.col(f"{c}_other")) <= tolerance[c]).drop(f"_{c}")
+    return near
+
+
 def same_coordinates(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Coordinates that only one of the two has; empty if they agree."""
     x, y = a.select(*columns).distinct(), b.select(*columns).distinct()

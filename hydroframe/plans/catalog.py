@@ -180,9 +180,15 @@ def snap_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return series.snap(s, ["s_acctbal"], {"s_acctbal": 0.5}).select("s_suppkey", "s_acctbal_snap")
 
 
-@query("SELECT c_custkey AS k, 'a' AS only_in FROM customer ANTI JOIN orders ON c_custkey = o_custkey UNION SELECT o_custkey, 'b' FROM orders ANTI JOIN customer ON c_custkey = o_custkey")
+@query("SELECT s_suppkey AS k, s_acctbal AS v, c_custkey AS k_other, c_acctbal AS v_other FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 25")
+def match_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(k).alias("k"), F.col(v).alias("v")) for t, k, v in (("supplier", "s_suppkey", "s_acctbal"), ("customer", "c_custkey", "c_acctbal")))
+    return series.match_within(a, b, ["v"], {"v": 25.0}).select("k", "v", "k_other", "v_other")
+
+
+@query("SELECT DISTINCT c_custkey AS k, 'a' AS only_in FROM customer ANTI JOIN events ON c_custkey = user_id UNION SELECT DISTINCT user_id, 'b' FROM events ANTI JOIN customer ON c_custkey = user_id")
 def same_coordinates(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey")))
+    a, b = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("events", "user_id")))
     return series.same_coordinates(a, b, ["k"])
 
 
@@ -280,6 +286,18 @@ def spi_gamma(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(indices.spi(rain(spark, sf), K, 3, calibration=YEARS), "spi")
 
 
+@query(_gamma_sql(f"{RAIN}, {sums_sql(3)}", "spi").replace(CALIB, "true"))
+def spi_whole_record(spark: SparkSession, sf: str) -> DataFrame:
+    """A calibration period outside the data stands for the whole record."""
+    return rounded(indices.spi(rain(spark, sf), K, 3, calibration=(1900, 1950)), "spi")
+
+
+@query(_gamma_sql(f"{RAIN}, {sums_sql(3)}", "spi").replace("SELECT cell, make_date", "SELECT cell % 3 AS area, cell, make_date"))
+def spi_two_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells under two keys."""
+    return rounded(indices.spi(rain(spark, sf).withColumn("area", F.col("cell") % 3), ["area", "cell"], 3, calibration=YEARS), "spi")
+
+
 SPEI_STEPS = f"{RAIN_BY_LINE}, {DEMAND}, w AS (SELECT raw.cell, raw.y, raw.m, raw.v, pet FROM raw JOIN e USING (y, m)), sp2 AS (SELECT cell, min(y) AS y0, max(y) AS y1, max(y * 12 + m) AS fin FROM w GROUP BY cell), gr2 AS (SELECT cell, y0, fin, unnest(range(y0 * 12, y1 * 12 + 12)) AS s FROM sp2), sl2 AS (SELECT cell, (s // 12)::INT AS y, (s % 12 + 1)::INT AS m, (s - y0 * 12)::INT AS idx, s + 1 > fin AS pad FROM gr2), dw AS (SELECT sl2.*, w.v - w.pet + 1000.0 AS v FROM sl2 LEFT JOIN w USING (cell, y, m)), {sums_sql(3, source='dw')}"
 
 
