@@ -217,7 +217,7 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, hot: int = 20_000, sample: int = 10_000, at_least: int = 16, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, hot: int = 20_000, sample: int = 10_000, at_least: int = 64, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces) for each row.
 
     With `carry`, also the text and a struct `carried` of these columns: they travel with the text, which spares a join.
