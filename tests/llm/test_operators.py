@@ -96,6 +96,14 @@ def test_urls(spark, limit):
     assert url_filter.filter_urls(pages.limit(0), url_filter.RULES, max_broadcast=limit).count() == 0
 
 
+def test_rules_of_the_contract(spark, tmp_path):
+    """The query's verdicts under the contract's own list, written out here."""
+    want = {"http://com/en/": "block", "http://example.com/en/7": "allow", "http://net/de/": "allow", "http://a.net/de/9": "allow", "http://example.net/de/8": "block", "http://a.example.net/de/89": "block", "http://example.net/de/9": "allow", "http://org/es/": "block", "http://net/en/": "allow"}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = url_filter.op2_url_filter(spark, str(tmp_path))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == dict(enumerate(want.values()))
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
