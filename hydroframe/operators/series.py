@@ -16,6 +16,8 @@ from hydroframe.functions.calendar import Periodicity, date_of, is_leap, period_
 from hydroframe.functions.expr import missing_as_null
 
 MIN_SCALE, MAX_SCALE = 1, 72
+#: Rows of each side that meet in a block of match_within, and how many pairs a task looks at, about.
+BLOCK, PAIRS = 2000, 20_000_000
 
 
 def check_frame(df: DataFrame, *columns: str) -> None:
@@ -113,13 +115,25 @@ def snap(df: DataFrame, columns: list[str], steps: dict[str, float]) -> DataFram
 def match_within(a: DataFrame, b: DataFrame, columns: list[str], tolerance: dict[str, float]) -> DataFrame:
     """Rows of both whose coordinates differ by at most the tolerance each; those of `b` are named with `_other`.
 
-    Coordinates are dealt to cells of the tolerance's size; a row of `b` goes to its own cell and those beside it.
+    Coordinates are dealt to cells of the tolerance's size; a row of `b` goes to its own cell and those beside it.  The pairs of
+    a cell grow as a product, so its rows are dealt to blocks by their hash, each of which meets each block of the other side,
+    and there are as many tasks as the pairs ask for: counting them is a job of its own.  Rows equal in all columns share a block.
     """
     x, y = a, b.select(*[F.col(c).alias(f"{c}_other") for c in b.columns])
     for c in columns:
         x = x.withColumn(f"_{c}", F.floor(F.col(c) / tolerance[c]))
         y = y.withColumn(f"_{c}", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> floor(`{c}_other` / {tolerance[c]!r}D) + d)")))
-    near = x.join(y, [f"_{c}" for c in columns])
+    cells = [f"_{c}" for c in columns]
+    size = x.groupBy(*cells).agg(F.count("*").alias("_m")).join(y.groupBy(*cells).agg(F.count("*").alias("_n")), cells)
+    tasks = 1 + int((size.agg(F.sum(F.col("_m").cast("double") * F.col("_n"))).first()[0] or 0) // PAIRS)
+    size = size.withColumns({n: F.ceil(F.col(n) / BLOCK) for n in ("_m", "_n")})
+
+    def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and c not in cells])
+        df = df.withColumn("_row", row).join(size, cells).withColumn(i, F.pmod("_row", own)).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return df.drop("_row", "_m", "_n").repartition(tasks, *cells, "_i", "_j")
+
+    near = dealt(x, "_m", "_n", "_i", "_j").join(dealt(y, "_n", "_m", "_j", "_i"), [*cells, "_i", "_j"]).drop("_i", "_j")
     for c in columns:
         near = near.where(F.abs(F.col(c) - F.col(f"{c}_other")) <= tolerance[c]).drop(f"_{c}")
     return near

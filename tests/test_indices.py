@@ -300,3 +300,23 @@ def test_streaming(spark, rain, tmp_path):
     assert set(live) == set(want)
     late = [k for k in want if k[1] >= dt.date(2000, 3, 1) and live[k] is not None]
     assert len(late) >= 60 and all(live[k] == pytest.approx(want[k], abs=1e-9) for k in late)
+
+
+def test_match_within_deals_a_crowded_place(spark, monkeypatch):
+    """All pairs come out, and a place where most rows lie is the work of many tasks."""
+    monkeypatch.setattr(series, "BLOCK", 20, raising=False)
+    monkeypatch.setattr(series, "PAIRS", 5000, raising=False)
+    rng = np.random.default_rng(3)
+
+    def places(n, crowd):
+        far = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (n, 2)).round(1))]
+        return far + [(n + i, 1.0, -1.0) for i in range(crowd)] + [(n + crowd, None, 0.0), (n + crowd + 1, 0.0, float("nan"))]
+
+    left, right = places(80, 200), places(100, 300)
+    a, b = (spark.createDataFrame(rows, "k long, lat double, lon double").coalesce(1) for rows in (left, right))
+    near = series.match_within(a, b, ["lat", "lon"], {"lat": 0.5, "lon": 0.25})
+    assert near.columns == ["k", "lat", "lon", "k_other", "lat_other", "lon_other"]
+    got = sorted((r["k"], r["k_other"]) for r in near.collect())
+    assert got == sorted((i, j) for i, x, y in left for j, u, v in right if None not in (x, u) and abs(x - u) <= 0.5 and abs(y - v) <= 0.25)
+    assert max(r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()) < len(got) / 4
+    assert series.match_within(a.limit(0), b, ["lat"], {"lat": 0.5}).count() == 0
