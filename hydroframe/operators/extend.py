@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.errors import CoordinateError, ShapeError
-from hydroframe.operators.series import check_frame
+from hydroframe.operators.series import by_keys, check_frame
 
 
 def series_index(name: str, inputs: tuple[str, ...] = ("value",), skipna: bool = False) -> Callable:
@@ -53,10 +53,15 @@ def series_index(name: str, inputs: tuple[str, ...] = ("value",), skipna: bool =
 
 
 def infer(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
-    """keys, first and last year, steps and periodicity (monthly, daily or null) of each cell; three steps are needed."""
-    days = F.datediff(F.max(time), F.min(time)) / (F.count("*") - 1)
-    kind = F.when(F.count("*") < 3, None).when(days.between(0.99, 1.01), "daily").when(days.between(27.9, 31.1), "monthly")
-    return df.groupBy(*keys).agg(F.year(F.min(time)).alias("first_year"), F.year(F.max(time)).alias("last_year"), F.count("*").alias("steps"), kind.alias("periodicity"))
+    """keys, first and last year, steps and periodicity (monthly, daily or null) of each cell; three steps are needed.
+
+    The shortest step decides, so that missing ones don't matter: a day, or a month with no month twice.
+    """
+    months, w = F.year(time) * 12 + F.month(time), by_keys(keys).orderBy(time)
+    rows = df.select(*keys, F.col(time).alias("_t"), F.datediff(time, F.lag(time).over(w)).alias("_days"), (months - F.lag(months).over(w)).alias("_months"))
+    days = F.min("_days")
+    kind = F.when(F.count("*") < 3, None).when(days == 1, "daily").when(days.between(28, 31) & (F.min("_months") >= 1), "monthly")
+    return rows.groupBy(*keys).agg(F.year(F.min("_t")).alias("first_year"), F.year(F.max("_t")).alias("last_year"), F.count("*").alias("steps"), kind.alias("periodicity"))
 
 
 def require(df: DataFrame, keys: list[str], scale: int, time: str = "time") -> None:

@@ -320,3 +320,25 @@ def test_match_within_deals_a_crowded_place(spark, monkeypatch):
     assert got == sorted((i, j) for i, x, y in left for j, u, v in right if None not in (x, u) and abs(x - u) <= 0.5 and abs(y - v) <= 0.25)
     assert max(r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()) < len(got) / 4
     assert series.match_within(a.limit(0), b, ["lat"], {"lat": 0.5}).count() == 0
+
+
+def test_infer_with_missing_steps(spark):
+    """Gaps don't change the periodicity; weeks, months that come twice, hours and under three steps have none."""
+    day = dt.date(1995, 1, 1)
+    made = {
+        1: ("monthly", [t for k, t in enumerate(months(48, 1995)) if k not in (7, 20, 21, 22, 30)]),
+        2: ("monthly", [t.replace(day=15) for t in months(30, 1995)[::5] + months(30, 1995)[1:3]]),
+        3: ("monthly", [m - dt.timedelta(1) for m in months(13, 1995)[1:]]),
+        4: ("daily", [day + dt.timedelta(k) for k in range(100) if k % 9]),
+        5: (None, [day + dt.timedelta(7 * k) for k in range(30)]),
+        6: (None, [dt.date(1995, 1, 1), dt.date(1995, 1, 30), dt.date(1995, 5, 1)]),
+        7: (None, [t for t in months(36, 1995) if t.month in (1, 7)]),
+        8: (None, months(12, 1995) * 2),
+        9: (None, months(2, 1995)),
+    }
+    df = spark.createDataFrame([(c, t) for c, (_, ts) in made.items() for t in ts], "cell int, time date")
+    got = {r["cell"]: r for r in extend.infer(df, K).collect()}
+    assert {c: r["periodicity"] for c, r in got.items()} == {c: kind for c, (kind, _) in made.items()}
+    assert {c: (r["first_year"], r["last_year"], r["steps"]) for c, r in got.items()} == {c: (min(ts).year, max(ts).year, len(ts)) for c, (_, ts) in made.items()}
+    hours = spark.sql("select 1 cell, timestamp '1995-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) time from range(10)")
+    assert extend.infer(hours, K).first()["periodicity"] is None
