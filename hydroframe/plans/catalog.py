@@ -589,9 +589,13 @@ def pdsi_given(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zed(spark: SparkSession, sf: str) -> DataFrame:
-    """A stand-in for Z: how far a month's rain is from the cell's mean."""
-    rows = rain(spark, sf)
-    return rows.select("cell", "time", F.round(F.col("value") - F.avg("value").over(series.by_keys(K)), 2).alias("z"))
+    """A stand-in for Z: how far a month's rain is from the cell's mean.
+
+    A hundredth is rounded as the SQL does it, by its binary value; `round` to two digits goes by the decimal one, which says
+    otherwise of halves.
+    """
+    away = F.col("value") - F.avg("value").over(series.by_keys(K))
+    return rain(spark, sf).select("cell", "time", (F.round(away * 100) / 100).alias("z"))
 
 
 @query(f"""WITH {RAIN}, q AS (SELECT cell, y * 12 + m AS t, round(v - avg(v) OVER (PARTITION BY cell), 2) AS z FROM raw),

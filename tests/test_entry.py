@@ -1,6 +1,10 @@
 """The registered queries against their SQL, at the smallest scale factor."""
 
+import datetime as dt
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -55,3 +59,20 @@ def test_align_of_many_cells(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cell", "time", "spi"]
+
+
+def test_halves_of_a_hundredth(spark, tmp_path):
+    """Z of series whose mean leaves each month with half a hundredth."""
+    rng, rows = random.Random(11), []
+    for cell in range(1, 13):
+        rain = [rng.randrange(300) for _ in range(79)]
+        rain.append(302 - sum(rain) % 80)  # the mean is a whole number and 1/40
+        rows += [(cell, dt.datetime(1995 + m // 12, m % 12 + 1, 1), float(v)) for m, v in enumerate(rain)]
+    path = f"{tmp_path}/lineitem.parquet"
+    pd.DataFrame(rows, columns=["l_suppkey", "l_shipdate", "l_quantity"]).astype({"l_shipdate": "datetime64[us]"}).to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{path}'")
+    for name, least in (("extreme_z_sum", 1e-9), ("duration_factors", 1.1e-4)):  # a fifth digit of 5 may be rounded either way
+        got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+        a, b = (x[sorted(got.columns)].sort_values("cell", ignore_index=True) for x in (got, want))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=least)

@@ -144,3 +144,11 @@ def test_factors_of_each_cell(spark, climate):
     plain = {c: [tuple(r)[2:] for r in palmer.palmer(df, K, (1960, 1990)).where(f"cell = {c}").orderBy("time").collect()] for c in (1, 2, 3)}
     given = [tuple(r)[2:] for r in palmer.palmer(df, K, (1960, 1990), wet=(0.2, 2.0), dry=(0.4, 2.5)).where("cell = 1").orderBy("time").collect()]
     assert own[1] == given != plain[1] and own[2] == plain[2] and own[3] == plain[3]
+
+
+def test_sum_at_the_freak_bound(spark):
+    """5.35 is 1.25 of 4.28, and no less of it, though its binary quotient is."""
+    assert 5.35 / 4.28 < 1.25
+    rows = [(c, dt.date(1990, 1, 1) + dt.timedelta(k), z) for c, top in ((1, 5.35), (2, 5.34)) for k, z in enumerate([1.0] * 48 + [4.28, top])]
+    df = spark.createDataFrame(rows, "cell int, time date, z double")
+    assert {r["cell"]: r["wet"] for r in calibration.extreme_sums(df, K, (1,)).collect()} == {1: 4.28, 2: 5.34}
